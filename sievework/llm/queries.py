@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import canonical, lookalike
+from sievework.llm import canonical, lookalike, truncation
 from sievework.sources.tables import table
 
 NAME_FIELDS = {"drug_name": "n", "front_imprint": "pf", "back_imprint": "pb"}
@@ -50,5 +50,16 @@ def p4_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.unmatched_report(_typed_cells(spark, folder), table(spark, folder, "canonical_value"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p4_found, p4_unmatched)}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows whose text stops before its end."""
+    judged = truncation.judge(table(spark, folder, "efficacy"), "eff_id", "feed", "at")
+    return judged.filter("truncated").select("eff_id")
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each feed truncates."""
+    return truncation.truncation_report(truncation.judge(table(spark, folder, "efficacy"), "eff_id", "feed", "at"), "feed")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p4_found, p4_unmatched, p5_found, p5_report)}
 ORACLES: dict[str, str] = {}
