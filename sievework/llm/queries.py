@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import canonical, lookalike, truncation
+from sievework.llm import canonical, lookalike, mixing, packing, tokens, truncation
+from sievework.session import materialize
 from sievework.sources.tables import table
 
 NAME_FIELDS = {"drug_name": "n", "front_imprint": "pf", "back_imprint": "pb"}
@@ -61,5 +62,50 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncation_report(truncation.judge(table(spark, folder, "efficacy"), "eff_id", "feed", "at"), "feed")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p4_found, p4_unmatched, p5_found, p5_report)}
+def _sized(spark: SparkSession, folder: str, *columns: Column) -> DataFrame:
+    """The documents with their size in tokens, counted once and written down."""
+    return materialize(table(spark, folder, "documents").select(F.col("doc_id").alias("item"), *columns, tokens.token_count("text").alias("size")))
+
+
+def _containers(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "container_size").select("container", F.col("capacity_tokens").alias("capacity"))
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    items = _sized(spark, folder, F.col("source"), F.xxhash64("text").alias("text_key"))
+    again = items.groupBy("text_key").agg(F.count("*").alias("n")).filter("n > 1").select("text_key", F.lit(True).alias("again"))
+    clustered = items.join(again, "text_key", "left").withColumn("cluster", F.when(F.col("again"), F.col("text_key")))
+    return packing.pack(clustered.select("item", "size", "source", "cluster"), _containers(spark, folder))
+
+
+def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """The bin of every text or piece, for each container."""
+    return _packed(spark, folder).withColumnsRenamed({"item": "doc_id", "size": "tokens"})
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the bins of each container are filled."""
+    return packing.fill_report(_packed(spark, folder), _containers(spark, folder))
+
+
+def _mixed(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.length("text"), "text").alias("b"))
+    items = _sized(spark, folder, F.col("source"), key.alias("text_key"))
+    return mixing.use_counts(items, table(spark, folder, "mix_target"))
+
+
+def p7_use_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each text is used in the mix."""
+    return _mixed(spark, folder).withColumnsRenamed({"item": "doc_id", "size": "tokens"})
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mixing.share_report(_mixed(spark, folder), table(spark, folder, "mix_target"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_consistent, p4_found, p4_unmatched, p5_found, p5_report, p6_pack, p6_fill, p7_use_counts, p7_shares)
+}
 ORACLES: dict[str, str] = {}
