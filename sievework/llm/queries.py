@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import canonical, lookalike, mixing, packing, tokens, truncation
+from sievework.llm import canonical, lookalike, mixing, packing, quality, tokens, truncation
 from sievework.session import materialize
 from sievework.sources.tables import table
 
@@ -104,8 +104,22 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.share_report(_mixed(spark, folder), table(spark, folder, "mix_target"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that are not prose."""
+    return quality.kinds_of_texts(table(spark, folder, "documents"), "doc_id", "text").filter("kind <> 'prose'").select("doc_id")
+
+
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics and the kind of every document."""
+    found = quality.kinds_of_texts(table(spark, folder, "documents"), "doc_id", "text")
+    return found.select("doc_id", *[F.round(c, 6).alias(c) if c != "n_words" else F.col(c) for c in quality.STATISTICS], "kind")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_consistent, p4_found, p4_unmatched, p5_found, p5_report, p6_pack, p6_fill, p7_use_counts, p7_shares)
-}
+    for f in (
+        p1_found, p1_consistent, p4_found, p4_unmatched, p5_found, p5_report, p6_pack, p6_fill, p7_use_counts, p7_shares,
+        p8_found, p8_statistics,
+    )
+}
 ORACLES: dict[str, str] = {}
