@@ -75,6 +75,7 @@ def measure(text: str | None) -> tuple[float, ...]:
         return (0, *[0.0] * (len(STATISTICS) - 1))
     get = _COUNTS.__getitem__
     total = lines = words = chars = stops = prose = marked = columns = 0
+    runs_on = False  # the line before is prose without a full stop
     for line in text.split("\n"):
         parts = line.split()
         if not parts:
@@ -85,8 +86,11 @@ def measure(text: str | None) -> tuple[float, ...]:
         lines += 1
         words += w
         chars += n
-        stops += parts[-1].rstrip(CLOSERS).endswith(STOPS)
-        if (common >= 2 and common * 8 >= w) or (common and common * 5 >= w):
+        stop = parts[-1].rstrip(CLOSERS).endswith(STOPS)
+        stops += stop
+        is_prose = (common >= 2 and common * 8 >= w) or (common > 0 and common * 5 >= w)
+        wrapped, runs_on = runs_on, is_prose and not stop
+        if is_prose or (wrapped and not LIST_LINE.match(line) and not COLUMN_GAP.search(line)):
             prose += n
         else:
             if LIST_LINE.match(line):
@@ -110,7 +114,7 @@ def statistics(texts: DataFrame, key: str, text: str) -> DataFrame:
     strange (replacement, control and mis-decoded characters); ``stop_line_share``: lines
     that end with a full stop; ``common_word_share``: function words and inflected
     endings among words; ``sentence_rate``: full stops per word; shares of characters
-    in lines with common words (prose), behind a list mark or label (list), or with
+    in lines with common words or running on from one (prose), behind a list mark or label (list), or with
     column gaps (column); ``words_per_line``; ``repeat_share``: sentences equal to
     the one before. A null or blank text has 0 for all. A loop over distinct words
     with remembered counts is ten times faster here than regular expressions in the JVM.
@@ -253,10 +257,12 @@ def kinds_of_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, the statistics, ``kind`` and ``p_prose`` of every text.
 
     ``kind`` is prose, list, table or junk. A null or blank text is junk. The statistics are
-    written once and read by each round of the fit.
+    written once and read by each round of the fit. An exact check follows the mixture:
+    a text that is whole prose by its lines, neither repeated nor damaged, is prose.
     """
     measured = materialize(statistics(texts, key, text).withColumn("x", F.array(*features())))
     mixture = fit_mixture(measured.filter("n_words > 0"), *example_features(texts.sparkSession))
     labelled = label(measured, key, mixture).withColumnRenamed(key, "_key")
     joined = measured.drop("x").join(labelled, measured[key] == F.col("_key")).drop("_key")
-    return joined.withColumn("kind", F.when(F.col("n_words") == 0, F.lit("junk")).otherwise(F.col("kind")))
+    sound = (F.col("prose_share") >= 0.75) & (F.col("repeat_share") < 0.5) & (F.col("strange_ratio") < 0.1) & (F.col("symbol_ratio") < 0.2)
+    return joined.withColumn("kind", F.when(F.col("n_words") == 0, F.lit("junk")).when(sound, F.lit("prose")).otherwise(F.col("kind")))
