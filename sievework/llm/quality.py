@@ -264,5 +264,6 @@ def kinds_of_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
     mixture = fit_mixture(measured.filter("n_words > 0"), *example_features(texts.sparkSession))
     labelled = label(measured, key, mixture).withColumnRenamed(key, "_key")
     joined = measured.drop("x").join(labelled, measured[key] == F.col("_key")).drop("_key")
-    sound = (F.col("prose_share") >= 0.75) & (F.col("repeat_share") < 0.5) & (F.col("strange_ratio") < 0.1) & (F.col("symbol_ratio") < 0.2)
+    wrapped = (F.col("prose_share") >= 0.6) & (F.col("list_share") + F.col("column_share") < 0.05) & (F.col("words_per_line") >= 5)
+    sound = ((F.col("prose_share") >= 0.75) | wrapped) & (F.col("repeat_share") < 0.6) & (F.col("strange_ratio") < 0.1) & (F.col("symbol_ratio") < 0.2)
     return joined.withColumn("kind", F.when(F.col("n_words") == 0, F.lit("junk")).when(sound, F.lit("prose")).otherwise(F.col("kind")))
