@@ -24,3 +24,8 @@ def salted_left_join(big: DataFrame, small: DataFrame, keys: list[str], salts: i
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """``unionByName`` of all frames."""
     return reduce(DataFrame.unionByName, frames)
+
+
+def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is, for a shuffled join."""
+    return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).take(most + 1)) <= most else df
