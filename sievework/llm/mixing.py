@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.operators.skew import small_side
+
 #: Strata of a source: a size class (four to a doubling) times so many hash classes.
 HASH_CLASSES = 64
 
@@ -56,7 +58,7 @@ def use_counts(items: DataFrame, targets: DataFrame, seed: int = 11) -> DataFram
     size class, then by hash, so the uses are spread evenly over all sizes.
     """
     mixed = targets.select("source").distinct()
-    in_mix = items.join(F.broadcast(mixed), "source", "left_semi")  # the target list is a handful of rows
+    in_mix = items.join(small_side(mixed), "source", "left_semi")
     marked = one_per_text(in_mix)
     plans = plan(marked, targets).select("source", "copies")
     size_class = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 4)).otherwise(-1).cast("int")
@@ -69,7 +71,7 @@ def use_counts(items: DataFrame, targets: DataFrame, seed: int = 11) -> DataFram
     # at most HASH_CLASSES rows per source and size class
     bases = used.groupBy(*stratum).agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     ranked = used.withColumn("rank", F.row_number().over(Window.partitionBy(*stratum).orderBy(F.xxhash64(F.lit(seed), "item"), "item")))
-    summed = ranked.join(F.broadcast(plans), "source").join(bases, stratum)
+    summed = ranked.join(small_side(plans), "source").join(bases, stratum)
     upto = F.col("base") + F.col("rank")
     counted = summed.select(
         "item",

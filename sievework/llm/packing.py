@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 SHARD_BINS = 400
 #: Most items in a shard.
 SHARD_ITEMS = 20_000
+#: Most kinds of containers; each item is packed once for every kind.
+MOST_CONTAINERS = 1_000
 
 
 class Bins:
@@ -113,7 +115,12 @@ def pieces(items: DataFrame, containers: DataFrame) -> DataFrame:
     An item above the capacity gives full pieces and a rest; ``piece`` counts from 0. An
     empty item is a piece of size 0.
     """
-    each = items.join(F.broadcast(containers.filter(F.col("capacity") > 0)))  # a few named capacities
+    kinds = containers.filter(F.col("capacity") > 0).select("container", "capacity").distinct().take(MOST_CONTAINERS + 1)
+    if len(kinds) > MOST_CONTAINERS:
+        raise ValueError(f"more than {MOST_CONTAINERS} kinds of containers")
+    named = [F.struct(F.lit(k["container"]).alias("container"), F.lit(k["capacity"]).cast("bigint").alias("capacity")) for k in kinds]
+    none = F.array().cast("array<struct<container:string,capacity:bigint>>")
+    each = items.withColumn("_k", F.explode(F.array(*named) if named else none)).select("*", "_k.container", "_k.capacity")
     n = F.greatest(F.ceil(F.col("size") / F.col("capacity")), F.lit(1)).cast("int")
     return each.withColumn("piece", F.explode(F.sequence(F.lit(0), n - 1))).select(
         "container", "capacity", "item", "piece", F.least(F.col("size") - F.col("piece") * F.col("capacity"), F.col("capacity")).alias("size"), "source", F.coalesce("cluster", F.lit(0)).alias("cluster")
@@ -142,7 +149,8 @@ def pack(items: DataFrame, containers: DataFrame, conflicting_sources: tuple[tup
             F.least(F.floor(F.col("total") / F.col("capacity") / SHARD_BINS), F.ceil(F.col("n") / 2000)),
         ).cast("int").alias("shards"),
     )
-    dealt = rest.join(F.broadcast(shards), "container").withColumn(
+    dealt = rest.join(F.broadcast(shards), "container")  # a row per kind of container, of which there are few
+    dealt = dealt.withColumn(
         "shard", F.pmod(F.xxhash64(F.lit(seed), "item", "piece"), F.col("shards")).cast("int")
     )
     foes = [tuple(pair) for pair in conflicting_sources]
@@ -179,7 +187,7 @@ def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     per = bins.groupBy("container").agg(
         F.count("*").alias("n_bins"), F.sum("n").alias("n_pieces"), F.sum("size").alias("n_tokens"), F.max("size").alias("fullest")
     )
-    return per.join(F.broadcast(containers), "container").select(
+    return per.join(containers, "container").select(
         "container", "capacity", "n_bins", "n_pieces", "n_tokens", "fullest",
         F.round(F.col("n_tokens") / (F.col("n_bins") * F.col("capacity")), 6).alias("fill"),
     )
