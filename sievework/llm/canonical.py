@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from sievework.llm.lookalike import look
 from sievework.operators.skew import salted_left_join, union_all
+from sievework.session import materialize
 
 #: Least share of a name, weighted by rarity, that the corrected tokens must make up.
 MIN_NAME_COVER = 0.6
@@ -151,7 +152,8 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n_rows"))
         .filter(F.col("value").rlike(r"(?U)\S"))
     )
-    typed = counted.join(labels, ["field", "value"], "left_anti").withColumn("words", words_udf("value"))
+    counted = materialize(counted)  # the distinct values, read by each of the steps below
+    typed = materialize(counted.join(labels, ["field", "value"], "left_anti").withColumn("words", words_udf("value")))
     names = reference_names(reference)
     # a name counts as its words and, written together, as one token
     whole = names.withColumn("token", F.array_join("tokens", ""))
@@ -192,7 +194,7 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     pairs = near_typed.join(near_names, ["field", "near"]).select("field", "typed", "token").distinct()
     repaired = pairs.withColumn("sim", likeness_udf("typed", "token")).filter(F.col("sim") > 0)
     # each candidate of each value with each name token it may mean
-    hits = spelled.join(repaired, ["field", "typed"]).join(parts, ["field", "token"])
+    hits = materialize(spelled.join(repaired, ["field", "typed"]).join(parts, ["field", "token"]))
 
     # how much of each name is there: words together or the name in one
     per_token = hits.groupBy("field", "value", "value_id", "name", "token").agg(F.max("sim").alias("sim"), F.first("weight").alias("weight"))
