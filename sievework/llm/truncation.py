@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from sievework.operators.skew import salted_left_join
+from sievework.session import materialize
 
 # Marks that an interface leaves where it cuts a text.
 CUT_MARKS = ("…", "⋯", "...", "[더보기]", "(계속)", "(이하 생략)", "[more]", "(continued)", "[truncated]")
@@ -164,7 +165,8 @@ def judge(rows: DataFrame, key: str, source: str, column: str) -> DataFrame:
     ends = rows.select(F.col(key).cast("bigint").alias("_key"), F.col(source).cast("string").alias("_source"), F.col(column).cast("string").alias("_text")).mapInArrow(
         run, "_key bigint, _source string, verdict string, before string, word string, n_chars bigint, n_bytes bigint"
     )
-    pairs = word_table(rows.select(F.col(column).cast("string").alias("_text")), "_text")
+    ends = materialize(ends)
+    pairs = materialize(word_table(rows.select(F.col(column).cast("string").alias("_text")), "_text"))
     words = pairs.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "n_end", "n_stop")])
     undecided = ends.filter(F.col("verdict").isin("open", "number_stop"))
     asked = undecided.groupBy("before", "word").agg(F.count("*").alias("n_final"), F.countDistinct("n_chars").alias("n_lengths"))
@@ -192,7 +194,7 @@ def judge(rows: DataFrame, key: str, source: str, column: str) -> DataFrame:
         F.when(F.col("verdict").isin("mark", "dangling"), F.col("verdict"))
         .when(open_end & F.col("clue").isin("cut_word", "open_sentence"), F.col("clue"))
     )
-    judged = judged.withColumn("reason", reason)
+    judged = materialize(judged.withColumn("reason", reason))
     limits = source_limits(judged)
     with_limits = salted_left_join(judged.withColumn("_source", F.coalesce("_source", F.lit("\0"))), limits, ["_source"])
     at_limit = (F.col("n_chars") == F.col("char_limit")) | F.col("n_bytes").between(F.col("byte_limit") - 2, F.col("byte_limit"))
