@@ -16,7 +16,8 @@ def salted_left_join(big: DataFrame, small: DataFrame, keys: list[str], salts: i
     multiplies the small side only. Null keys match nothing, as in SQL; they are
     salted as well, so many null keys do not meet in one task.
     """
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    hashed = [f.name for f in big.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashed] or [F.lit(0)]), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
 
