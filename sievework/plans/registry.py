@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.plans import training
+from sievework.plans import evaluation, training
 
-MODULES = [training]
+MODULES = [training, evaluation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,4 +23,4 @@ def oracles() -> dict[str, str]:
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """The query that the driver runs first."""
-    return training.p2_found(spark, folder)
+    return evaluation.leaderboard(spark, folder)
