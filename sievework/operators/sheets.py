@@ -23,11 +23,11 @@ def validate_rows(rows: DataFrame, images: DataFrame, key: str = "row_id") -> Da
 
     Errors: a required cell is blank, no answer (item id or name), the case id is used again in any case of
     letters, an image is missing or there more than once, both images are the same file.
-    Warnings: no imprint at all, no readability. Case ids and images are counted before
+    Warning: no imprint at all. Case ids and images are counted before
     they are joined, on salted keys.
     """
     keyed = rows.select(
-        key, *[T.trimmed(c).alias(c) for c in (*REQUIRED, *ANSWERS, "front_imprint", "back_imprint", "expected_readable")],
+        key, *[T.trimmed(c).alias(c) for c in (*REQUIRED, *ANSWERS, "front_imprint", "back_imprint")],
         F.lower(T.trimmed("case_id")).alias("_case"), T.image_key("front_image").alias("_front"), T.image_key("back_image").alias("_back"),
     )
     files = image_counts(images)
@@ -45,7 +45,7 @@ def validate_rows(rows: DataFrame, images: DataFrame, key: str = "row_id") -> Da
         there = F.coalesce(F.col(f"_{side}_files"), F.lit(0))
         errors += [when((F.col(f"_{side}") != "") & (there == 0), f"{side}_image_not_found"), when(there > 1, f"{side}_image_ambiguous")]
     errors += [when((F.col("_front") != "") & (F.col("_front") == F.col("_back")), "same_image")]
-    warnings = [when((F.col("front_imprint") == "") & (F.col("back_imprint") == ""), "no_imprint"), when(F.col("expected_readable") == "", "no_readability")]
+    warnings = [when((F.col("front_imprint") == "") & (F.col("back_imprint") == ""), "no_imprint")]
     return joined.select(key, F.array_compact(F.array(*errors)).alias("errors"), F.array_compact(F.array(*warnings)).alias("warnings")).withColumn("valid", F.size("errors") == 0)
 
 
