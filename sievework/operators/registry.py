@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sievework.functions import text as T
 
 # The kinds of substances that are tagged, and the least length of a name by language.
-TAGGED_TYPES = ("마약", "향정", "대마")
+TAGGED_TYPES = ("마약", "향정신성의약품", "대마")
 LEAST_LENGTH = {"kr": 2, "eng": 5}
 
 
