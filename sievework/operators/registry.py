@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
@@ -98,8 +98,9 @@ def stratified(pool: DataFrame, total: int, shares: dict[str, float], color_shar
     """``total`` items chosen one after the other under caps on shape, colour and class, then filled up without them.
 
     Two-sided items come first, then by hash of ``q``. An item is passed over when its shape has its share of
-    the total, its colour the colour share, or its class ``per_class`` items. The choice is sequential over a pool the
-    caller has narrowed to candidates; only the columns it looks at go to the one task.
+    the total, its colour the colour share, or its class ``per_class`` items. Counts only grow, so of each
+    combination of shape, colour and class no item after the first ``total`` can be chosen; those first ones are all
+    that the sequential choice reads.
     """
     keyed = pool.select("q", F.coalesce("sh", F.lit("")).alias("sh"), F.coalesce("k1", F.lit("")).alias("k1"), F.coalesce("cl", F.lit("")).alias("cl"), (T.safe("pb") == "").alias("one_sided"), selection_key("q", prefix).alias("key"))
 
@@ -120,4 +121,6 @@ def stratified(pool: DataFrame, total: int, shares: dict[str, float], color_shar
         taken += [q for q in rows["q"] if q not in chosen][: total - len(taken)]
         return pd.DataFrame({"q": taken, "place": range(1, len(taken) + 1)})
 
-    return keyed.groupBy(F.lit(1)).applyInPandas(run, "q string, place int")
+    order = Window.partitionBy("sh", "k1", "cl").orderBy("one_sided", "key")
+    first = keyed.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= total).drop("_n")
+    return first.groupBy(F.lit("all").alias("pool")).applyInPandas(run, "q string, place int")

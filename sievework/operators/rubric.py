@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions import text as T
 from sievework.functions import values as V
 from sievework.operators.scoring import with_truth
+from sievework.operators.skew import settled
 
 #: The similarity from which a name is partly right here, and the confidence that counts as sure.
 PARTIAL_SIMILARITY = 0.82
@@ -63,7 +64,7 @@ def cases(results: DataFrame, truths: DataFrame, database: DataFrame | None = No
     holds_back = V.abstains(pn, pc, F.col("evidence"), F.col("uncertainty"))
     direct = V.mean_of(F.when(F.col("kf"), T.similarity(F.col("tf"), F.col("pf"))), F.when(F.col("kb"), T.similarity(F.col("tb"), F.col("pb"))))
     swapped = V.mean_of(F.when(F.col("kf"), T.similarity(F.col("tf"), F.col("pb"))), F.when(F.col("kb"), T.similarity(F.col("tb"), F.col("pf"))))
-    seen = base.withColumns(
+    seen = settled(base).withColumns(
         {
             "ready": ((tn != "") | (tc != "")) & (F.col("error") == ""),
             "similarity": similarity, "exact": code | name, "partial": partial, "abstains": holds_back, "named": (pn != "") | (pc != ""),
@@ -78,7 +79,7 @@ def cases(results: DataFrame, truths: DataFrame, database: DataFrame | None = No
         .when(T.trimmed(F.col("db.candidate")) == "", 0.5)
         .when(db_name, 1.0).when(db_partial, 0.5).otherwise(0.0)
     )
-    judged = seen.withColumns(
+    judged = settled(seen).withColumns(
         {
             "verdict": verdict,
             "orientation": F.when(F.col("swapped") > F.col("direct"), "swapped").otherwise("direct"),
@@ -121,7 +122,7 @@ def cases(results: DataFrame, truths: DataFrame, database: DataFrame | None = No
         + points(F.col("has_color"), 1) + points(F.col("confidence").isNotNull(), 2) + points(F.col("has_evidence"), 1.5) + points(F.col("has_uncertainty"), 1.5)
     )
     only = lambda c: F.when(F.col("ready"), c)
-    return judged.select(
+    return settled(judged).select(
         "result_id", "run_id", "sample_id", "provider", "model", "ready",
         only(v).alias("verdict"),
         only(F.when(v == "correct", 40.0).when(v == "partial", 20.0).otherwise(0.0)).alias("accuracy"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as T
 from sievework.functions import values as V
-from sievework.operators.skew import salted_left_join
+from sievework.operators.skew import salted_left_join, settled
 
 #: The similarity from which a name is partly right, and the confidence from which a wrong one is dangerous.
 PARTIAL_SIMILARITY = 0.72
@@ -60,7 +60,7 @@ def score(results: DataFrame, truths: DataFrame, prices: DataFrame | None = None
         T.safe("error").alias("error"), F.coalesce(V.finite("latency_ms"), F.lit(0.0)).alias("latency_ms"),
         F.col("usage"), "created_at",
     )
-    sim = base.withColumns(
+    sim = settled(base).withColumns(
         {
             "name_similarity": F.when((F.col("tn") == "") | (F.col("pn") == ""), 0.0).otherwise(T.similarity(F.col("tn"), F.col("pn"))),
             "ff": T.similarity(F.col("tf"), F.col("pf")), "bb": T.similarity(F.col("tb"), F.col("pb")),
@@ -70,7 +70,7 @@ def score(results: DataFrame, truths: DataFrame, prices: DataFrame | None = None
     named = (F.col("tn") != "") & (F.col("pn") != "")
     contained = (F.least(F.length("tn"), F.length("pn")) >= 4) & (F.col("tn").contains(F.col("pn")) | F.col("pn").contains(F.col("tn")))
     swapped = (F.col("fb") + F.col("bf")) / 2 > (F.col("ff") + F.col("bb")) / 2
-    marked = sim.withColumns(
+    marked = settled(sim).withColumns(
         {
             "exact_match": named & (F.col("tn") == F.col("pn")),
             "partial_match": named & (F.col("tn") != F.col("pn")) & ((F.col("name_similarity") >= PARTIAL_SIMILARITY) | contained),
@@ -80,7 +80,7 @@ def score(results: DataFrame, truths: DataFrame, prices: DataFrame | None = None
     swap = F.col("swapped")
     blank_name = T.trimmed(p["drug_name"]) == ""
     unreadable = V.says_unreadable(p["drug_name"], p["evidence"], p["uncertainty"]) | (blank_name & (F.coalesce(F.col("expected_readable"), F.lit(True)) == F.lit(False)))
-    classed = marked.withColumns(
+    classed = settled(marked).withColumns(
         {
             "classification": F.when(F.col("error") != "", "error").when(unreadable, "unreadable").when(F.col("exact_match"), "correct").when(F.col("partial_match"), "partial").otherwise("incorrect"),
             "front_similarity": F.when(swap, F.col("fb")).otherwise(F.col("ff")),
@@ -91,7 +91,7 @@ def score(results: DataFrame, truths: DataFrame, prices: DataFrame | None = None
     )
     present = [T.trimmed(p["drug_name"]) != "", T.trimmed(p["front_imprint"]) != "", T.trimmed(p["back_imprint"]) != "", F.col("confidence").isNotNull(), T.trimmed(T.first_filled(p["evidence"], p["uncertainty"])) != ""]
     hit = (F.col("classification") == "correct").cast("double")
-    measured = classed.withColumns(
+    measured = settled(classed).withColumns(
         {
             "imprint_cer": (F.col("front_cer") + F.col("back_cer")) / 2,
             "imprint_similarity": (F.col("front_similarity") + F.col("back_similarity")) / 2,
@@ -106,7 +106,7 @@ def score(results: DataFrame, truths: DataFrame, prices: DataFrame | None = None
         + F.when(F.col("brier").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("brier")) * 15)
         + F.col("completeness") * 20
     )
-    scored = measured.withColumn("legacy_score", total).withColumn("orientation", F.when(swap, "swapped").otherwise("direct"))
+    scored = settled(measured).withColumn("legacy_score", total).withColumn("orientation", F.when(swap, "swapped").otherwise("direct"))
     if prices is not None:
         scored = with_cost(scored, prices)
     return scored.drop("tn", "tf", "tb", "pf", "pb", "ff", "bb", "fb", "bf", "swapped").withColumnRenamed("pn", "predicted_name_key")

@@ -30,3 +30,13 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows, else as it is, for a shuffled join."""
     return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).take(most + 1)) <= most else df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with all its columns computed at this point.
+
+    Projections in a row are otherwise merged by the optimizer, and an expression used several
+    times in the next one is then computed as many times; over a few steps that multiplies.
+    A one-element explode keeps them apart and stays within code generation.
+    """
+    return df.select(F.explode(F.array(F.struct("*"))).alias("_row")).select("_row.*")

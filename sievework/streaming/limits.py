@@ -29,17 +29,26 @@ def step(state: tuple[int, int] | None, now: int, window: int, limit: int) -> tu
 
 
 def decide(events: DataFrame, limit: int, window: int = WINDOW_MS) -> DataFrame:
-    """Decision for every event of a finished table: ``event_id, limit_key, now_ms``, in order of time, then id."""
+    """Decision for every event of a finished table: ``event_id, limit_key, now_ms``, in order of time, then id.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["now_ms", "event_id"], kind="stable")
-        state, out = None, []
-        for r in rows.itertuples():
-            state, allowed, rest = step(state, int(r.now_ms), window, limit)
-            out.append((r.event_id, r.limit_key, r.now_ms, state[1], allowed, rest))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in DECISION.split(", ")])
-
-    return events.select("event_id", "limit_key", "now_ms").groupBy("limit_key").applyInPandas(run, DECISION)
+    Keys are sorted within their partition and read in batches with only the state of the
+    current key held, so a key with very many events takes no more memory than any other.
+    """
+    names = [c.split()[0] for c in DECISION.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                if r.limit_key != key:
+                    key, state = r.limit_key, None
+                state, allowed, rest = step(state, int(r.now_ms), window, limit)
+                out.append((r.event_id, r.limit_key, r.now_ms, state[1], allowed, rest))
+            yield pd.DataFrame(out, columns=names)
+
+    keyed = events.filter(F.col("limit_key").isNotNull() & F.col("now_ms").isNotNull()).select("event_id", "limit_key", "now_ms")
+    return keyed.repartition("limit_key").sortWithinPartitions("limit_key", "now_ms", "event_id").mapInPandas(run, DECISION)
 
 
 class Limiter(StatefulProcessor):
