@@ -44,8 +44,9 @@ def contract_confidence(x: Column | str) -> Column:
 
 
 def clamped_confidence(x: Column | str) -> Column:
-    """Confidence clamped to 0 to 100."""
-    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), finite(x)))
+    """Confidence clamped to 0 to 100; null stays null."""
+    n = finite(x)
+    return F.when(n.isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), n)))
 
 
 def half_up(x: Column, digits: int = 1) -> Column:

@@ -32,7 +32,7 @@ def outcome(ocr_failed: Column, auto: Column, manual: Column, erased: Column) ->
 def records(rows: DataFrame, conditions: tuple[str, ...] = CONDITIONS) -> DataFrame:
     """Log records of raw rows: counts clamped, condition checked, only the extension of a file name, short errors."""
     failed = F.coalesce("ocr_failed", F.lit(False))
-    unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), V.finite(c)))
+    unit = lambda c: F.when(V.finite(c).isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), V.finite(c))))
     return rows.select(
         trimmed("doc_id").alias("doc_id"), "created_at",
         F.when(F.col("condition").isin(*conditions), F.col("condition")).otherwise("unknown").alias("condition"),

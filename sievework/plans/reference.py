@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions import text as T
 from sievework.functions import values as V
 from sievework.operators import arena, doclog, draws, layout, pii, redaction, registry, rubric, sheets
-from sievework.plans.evaluation import similarity_sql, trim_sql
+from sievework.plans import reference_sql
 from sievework.sources.tables import table
 from sievework.streaming import limits
 
@@ -299,3 +299,5 @@ QUERIES = {
         pii_redacted, page_rows, column_parts, nearest_columns, login_limits, runs_merged, runs_new, runs_retained, seeded_draws, markup_texts,
     )
 }
+
+ORACLES = reference_sql.ORACLES

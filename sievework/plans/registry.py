@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.plans import evaluation, training
+from sievework.plans import evaluation, reference, training
 
-MODULES = [training, evaluation]
+MODULES = [training, evaluation, reference]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
