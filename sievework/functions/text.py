@@ -155,7 +155,7 @@ def json_part(x: Column | str) -> Column:
     brace, bracket = F.locate("{", text), F.locate("[", text)
     is_list = (bracket > 0) & ((brace == 0) | (bracket < brace))
     part = F.when(is_list, F.regexp_extract(text, r"(?s)(\[.*\])", 1)).otherwise(F.regexp_extract(text, r"(?s)(\{.*\})", 1))
-    return F.when(F.try_parse_json(text).isNotNull() | (part == ""), text).otherwise(part)
+    return F.when(part == "", text).otherwise(part)
 
 
 def csv_cell(x: Column | str) -> Column:
