@@ -28,7 +28,7 @@ END_SHARE = 0.1
 #: A length is a source's limit if so large a share of its cut texts stop there.
 LIMIT_SHARE = 0.2
 
-LIST_MARK = re.compile(r"(?:[-*·•▪◦□○●–—]|\(?\d{1,3}[.)]|[가-힣a-zA-Z][.)]|[①-⑳])$")
+LIST_MARK = re.compile(r"(?:[-*·•▪◦□○●–—]|\(?\d{1,3}[.)]|[가나다라마바사아자차카타파하a-zA-Z][.)]|[①-⑳])$")
 BROKEN_MARKUP = re.compile(r"(?:</?[A-Za-z!]?[^<>\s]{0,20}|&#?\w{0,6}|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?)$")
 DANGLING = tuple(",:;(/~[{·&+=<“‘")
 SENTENCE_END = tuple(".!?。！？")
@@ -47,17 +47,18 @@ def core(word: str) -> tuple[str, bool]:
 
 
 def word_ends(text: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """Of each word but the text's last: the word before it in its line, itself, whether it
-    ends a line or sentence, and whether it does so with a full stop."""
+    """Of each word: the word before it in its line, itself, whether it ends a line or sentence,
+    and whether it does so with a full stop. A text's last word counts only in a text closed by one."""
+    closed = ending(text)[0] == "closed"
     lines = [line.split() for line in text.split("\n")]
     lines = [x for x in lines if x]
     for i, line in enumerate(lines):
         before = ""
         for k, word in enumerate(line):
             last = k == len(line) - 1
-            if last and i == len(lines) - 1:
-                return
             bare, stop = core(word)
+            if last and i == len(lines) - 1 and not (stop and closed):
+                return
             yield before, folded(bare), last or stop, stop
             before = folded(bare)
 
@@ -96,7 +97,7 @@ def ending(text: str | None) -> tuple[str, str, str, int, int]:
 
 
 def word_table(texts: DataFrame, column: str) -> DataFrame:
-    """``before, word, n, n_end, n_stop`` over all words of all texts but each text's last one."""
+    """``before, word, n, n_end, n_stop`` over all words of all texts, the last one only of texts closed by a full stop."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

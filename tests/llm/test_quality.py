@@ -40,7 +40,7 @@ def test_empty_table(spark):
 
 @pytest.mark.skipif(not os.path.exists(tokens.TOKENIZER), reason="no tokenizer files")
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab 9.\n\t'가나　\x1c\xa0sé") + ["'s", "  ", "\r\n"]), max_size=60))
+@given(st.text(alphabet="ab 9.\n\r\t'가나　\x1c\xa0sé", max_size=60))
 def test_run_sizes_equal_whole_encoding(text):
     sizes = tokens.run_sizes(tokens.TOKENIZER)
     assert sizes.of(text) == len(sizes.encode(text))

@@ -14,7 +14,9 @@ def test_ending(text, verdict):
     assert truncation.ending(text)[0] == verdict
 
 
-def test_word_ends_skip_the_last_word():
+def test_word_ends_skip_a_bare_last_word():
+    assert list(truncation.word_ends("가 나...")) == [("", "가", False, False)]
+    assert list(truncation.word_ends("가 나.")) == [("", "가", False, False), ("가", "나", True, True)]
     assert list(truncation.word_ends("가 나. 다\n라 9마")) == [("", "가", False, False), ("가", "나", True, True), ("나", "다", True, False), ("", "라", False, False)]
 
 
