@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from sievework.operators import rollups, scoring
 from sievework.operators.rollups import r6
-from sievework.sources.tables import table
+from sievework.sources.tables import spread_table, table
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    return scoring.score(table(spark, folder, "research_result"), table(spark, folder, "gt_record"), table(spark, folder, "model_price"))
+    return scoring.score(spread_table(spark, folder, "research_result"), table(spark, folder, "gt_record"), table(spark, folder, "model_price"))
 
 
 def score_samples(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ from sievework.functions import text as T
 from sievework.functions import values as V
 from sievework.operators import arena, doclog, draws, layout, pii, redaction, registry, rubric, sheets
 from sievework.plans import reference_sql
-from sievework.sources.tables import table
+from sievework.sources.tables import spread_table, table
 from sievework.streaming import limits
 
 # ---- rubric -----------------------------------------------------------------
@@ -17,7 +17,7 @@ from sievework.streaming import limits
 
 def rubric_cases(spark: SparkSession, folder: str) -> DataFrame:
     """Rubric scores of every result."""
-    return rubric.cases(table(spark, folder, "research_result"), table(spark, folder, "gt_record"))
+    return rubric.cases(spread_table(spark, folder, "research_result"), table(spark, folder, "gt_record"))
 
 
 def rubric_batches(spark: SparkSession, folder: str) -> DataFrame:
@@ -216,13 +216,13 @@ def doclog_kinds(spark: SparkSession, folder: str) -> DataFrame:
 
 def pii_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of personal data in all documents."""
-    return pii.find(table(spark, folder, "documents"), "doc_id", "text")
+    return pii.find(spread_table(spark, folder, "documents"), "doc_id", "text")
 
 
 def pii_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with personal data replaced, as length and hash."""
     out = pii.redacted(F.col("text"))
-    return table(spark, folder, "documents").select("doc_id", out.alias("t")).select("doc_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
+    return spread_table(spark, folder, "documents").select("doc_id", out.alias("t")).select("doc_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
 
 
 def _page_words(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import records, shred
 from sievework.operators.skew import union_all
-from sievework.sources.tables import table
+from sievework.sources.tables import spread_table, table
 
 SAMPLE_PATHS = ("$.samples[*]", "$.dataset.samples[*]")
 ANSWER_PATHS = tuple(f"{p}.answer{end}" for p in SAMPLE_PATHS for end in ("", "[*]"))
@@ -23,7 +23,7 @@ ATTEMPT_FIELDS = ("attempt_no", "latency_ms")
 def dataset_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Adjacency table of the result datasets; ``samples`` may be text or keyed by place."""
     return shred.shred(
-        table(spark, folder, "result_dataset"), "result_dataset", "dataset_id", F.col("body"), embedded=("samples",), listed=("samples",)
+        spread_table(spark, folder, "result_dataset"), "result_dataset", "dataset_id", F.col("body"), embedded=("samples",), listed=("samples",)
     )
 
 
@@ -89,25 +89,25 @@ def p2_attempts(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """The records that cannot be loaded."""
-    loaded = records.load_records(table(spark, folder, "sheet_record"))
+    loaded = records.load_records(spread_table(spark, folder, "sheet_record"))
     return loaded.filter(F.col("reason").isNotNull() & (F.col("rec_no") > 1)).select("rec_id")
 
 
 def p3_rejected(spark: SparkSession, folder: str) -> DataFrame:
     """The rejected records with reason and offset."""
-    loaded = records.load_records(table(spark, folder, "sheet_record"))
+    loaded = records.load_records(spread_table(spark, folder, "sheet_record"))
     return loaded.filter(F.col("reason").isNotNull()).select("rec_id", "sheet_id", "rec_no", "reason", "error_offset", "n_fields", "raw")
 
 
 def p3_loaded(spark: SparkSession, folder: str) -> DataFrame:
     """The valid rows, as the 19 columns of an answer sheet."""
-    loaded = records.load_records(table(spark, folder, "sheet_record"))
+    loaded = records.load_records(spread_table(spark, folder, "sheet_record"))
     return loaded.filter(F.col("reason").isNull()).select("rec_id", "sheet_id", "rec_no", *records.SHEET_COLUMNS, "readable")
 
 
 def p3_sheet_report(spark: SparkSession, folder: str) -> DataFrame:
     """Rejected records per sheet and reason."""
-    return records.reject_report(records.load_records(table(spark, folder, "sheet_record")))
+    return records.reject_report(records.load_records(spread_table(spark, folder, "sheet_record")))
 
 
 QUERIES = {
