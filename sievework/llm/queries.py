@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm import canonical, lookalike, mixing, packing, quality, tokens, truncation
 from sievework.session import materialize
-from sievework.sources.tables import table
+from sievework.sources.tables import spread_table, table
 
 NAME_FIELDS = {"drug_name": "n", "front_imprint": "pf", "back_imprint": "pb"}
 
@@ -53,18 +53,18 @@ def p4_unmatched(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The rows whose text stops before its end."""
-    judged = truncation.judge(table(spark, folder, "efficacy"), "eff_id", "feed", "at")
+    judged = truncation.judge(spread_table(spark, folder, "efficacy"), "eff_id", "feed", "at")
     return judged.filter("truncated").select("eff_id")
 
 
 def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     """How often each feed truncates."""
-    return truncation.truncation_report(truncation.judge(table(spark, folder, "efficacy"), "eff_id", "feed", "at"), "feed")
+    return truncation.truncation_report(truncation.judge(spread_table(spark, folder, "efficacy"), "eff_id", "feed", "at"), "feed")
 
 
 def _sized(spark: SparkSession, folder: str, *columns: Column) -> DataFrame:
     """The documents with their size in tokens, counted once and written down."""
-    return materialize(table(spark, folder, "documents").select(F.col("doc_id").alias("item"), *columns, tokens.token_count("text").alias("size")))
+    return materialize(spread_table(spark, folder, "documents").select(F.col("doc_id").alias("item"), *columns, tokens.token_count("text").alias("size")))
 
 
 def _containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,12 +106,12 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that are not prose."""
-    return quality.kinds_of_texts(table(spark, folder, "documents"), "doc_id", "text").filter("kind <> 'prose'").select("doc_id")
+    return quality.kinds_of_texts(spread_table(spark, folder, "documents"), "doc_id", "text").filter("kind <> 'prose'").select("doc_id")
 
 
 def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics and the kind of every document."""
-    found = quality.kinds_of_texts(table(spark, folder, "documents"), "doc_id", "text")
+    found = quality.kinds_of_texts(spread_table(spark, folder, "documents"), "doc_id", "text")
     return found.select("doc_id", *[F.round(c, 6).alias(c) if c != "n_words" else F.col(c) for c in quality.STATISTICS], "kind")
 
 
