@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from sievework.functions.text import csv_cell
 
+#: The columns of scored rows that the roll-ups read.
+SUMMARIZED = (
+    "result_id", "sample_id", "provider", "model", "variant", "classification", "dangerous", "front_cer", "back_cer", "imprint_cer", "confidence", "brier",
+    "latency_ms", "cost_usd", "legacy_score", "predicted_name_key",
+)
 CLASSES = ("correct", "partial", "unreadable", "incorrect", "error")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import rollups, scoring
 from sievework.operators.rollups import r6
+from sievework.session import materialize
 from sievework.sources.tables import spread_table, table
 
 
@@ -24,8 +25,8 @@ def score_samples(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def leaderboard(spark: SparkSession, folder: str) -> DataFrame:
-    """Summary per model with robustness."""
-    return rollups.leaderboard(scored(spark, folder))
+    """Summary per model with robustness; the scored columns are written once for the two roll-ups."""
+    return rollups.leaderboard(materialize(scored(spark, folder).select(*rollups.SUMMARIZED)))
 
 
 def conditions(spark: SparkSession, folder: str) -> DataFrame:

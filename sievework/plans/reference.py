@@ -9,6 +9,7 @@ from sievework.functions import text as T
 from sievework.functions import values as V
 from sievework.operators import arena, doclog, draws, layout, pii, redaction, registry, rubric, sheets
 from sievework.plans import reference_sql
+from sievework.session import materialize
 from sievework.sources.tables import spread_table, table
 from sievework.streaming import limits
 
@@ -38,8 +39,8 @@ def rubric_assertions(spark: SparkSession, folder: str) -> DataFrame:
 
 def arena_leaderboard(spark: SparkSession, folder: str) -> DataFrame:
     """Leaderboard over the rubric's verdicts, with each run's winner as its vote."""
-    cases = rubric_cases(spark, folder).withColumn("score", F.lit(None).cast("double"))
-    totals = rubric_batches(spark, folder).select("run_id", "provider", "model", "total")
+    cases = materialize(rubric_cases(spark, folder)).withColumn("score", F.lit(None).cast("double"))
+    totals = rubric.batches(cases, ["run_id", "provider", "model"]).select("run_id", "provider", "model", "total")
     votes = rubric.winners(totals, "run_id", "model")
     return arena.leaderboard(cases, totals, votes)
 
