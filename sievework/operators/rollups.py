@@ -40,7 +40,7 @@ def summary_columns() -> list[Column]:
         r6(F.avg("confidence")).alias("average_confidence"),
         r6(F.avg("brier")).alias("brier_loss"),
         F.round(F.avg("latency_ms"), 3).alias("average_latency_ms"),
-        r6(F.sum("cost_usd")).alias("total_cost_usd"),
+        F.round(F.sum("cost_usd"), 9).alias("total_cost_usd"),
         r6(F.when(known > 0, F.sum("cost_usd") / n)).alias("cost_per_sample_usd"),
         F.round(F.avg("legacy_score"), 4).alias("legacy_score"),
     ]
@@ -124,7 +124,7 @@ def failures(scored: DataFrame) -> DataFrame:
 
 def model_costs(scored: DataFrame) -> DataFrame:
     """Cost per model and where it comes from."""
-    return scored.groupBy("provider", "model", "cost_source").agg(F.count("*").alias("n"), r6(F.sum("cost_usd")).alias("cost_usd"))
+    return scored.groupBy("provider", "model", "cost_source").agg(F.count("*").alias("n"), F.round(F.sum("cost_usd"), 9).alias("cost_usd"))
 
 
 def dashboard_cards(summary: DataFrame) -> DataFrame:

@@ -182,7 +182,7 @@ SUMMARY_SQL = """count(*) AS samples, count(*) filter (classification <> 'error'
     count(*) filter (dangerous) AS high_confidence_misidentification,
     round(avg(front_cer), 6) AS front_imprint_cer, round(avg(back_cer), 6) AS back_imprint_cer, round(avg(imprint_cer), 6) AS imprint_cer,
     round(avg(confidence), 6) AS average_confidence, round(avg(brier), 6) AS brier_loss, round(avg(latency_ms), 3) AS average_latency_ms,
-    round(sum(cost_usd), 6) AS total_cost_usd, round(case when count(cost_usd) > 0 then sum(cost_usd) / count(*) end, 6) AS cost_per_sample_usd,
+    round(sum(cost_usd), 9) AS total_cost_usd, round(case when count(cost_usd) > 0 then sum(cost_usd) / count(*) end, 6) AS cost_per_sample_usd,
     round(avg(legacy_score), 4) AS legacy_score"""
 
 ROBUST_SQL = """, o AS (SELECT provider, model, sample_id, arg_min(classification = 'correct', result_id)::int AS oc, arg_min(pn, result_id) AS oname
@@ -223,7 +223,7 @@ ORACLES = {
     "robustness_models": SCORED_SQL + ROBUST_SQL + "SELECT * FROM robm",
     "dataset_summary": _SUMMARY,
     "failures": SCORED_SQL + "SELECT result_id, sample_id, provider, model, classification, dangerous, coalesce(p.drug_name, '') AS predicted_drug_name, round(confidence, 6) AS confidence, error FROM scored WHERE classification = 'error' OR dangerous",
-    "model_costs": SCORED_SQL + "SELECT provider, model, cost_source, count(*) AS n, round(sum(cost_usd), 6) AS cost_usd FROM scored GROUP BY ALL",
+    "model_costs": SCORED_SQL + "SELECT provider, model, cost_source, count(*) AS n, round(sum(cost_usd), 9) AS cost_usd FROM scored GROUP BY ALL",
     "dashboard_cards": f"WITH d AS ({_SUMMARY}) SELECT c.card, round(c.value, 4) AS value FROM (SELECT unnest(["
     + ", ".join(f"{{'card': '{c}', 'value': {c}::double * {100 if c in _RATES else 1}}}" for c in _CARDS) + "]) AS c FROM d)",
     "sample_csv": SCORED_SQL + f"SELECT result_id, {_CSV} AS line FROM scored",
