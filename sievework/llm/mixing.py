@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.operators.skew import small_side
+from sievework.session import materialize
 
 #: Strata of a source: a size class (four to a doubling) times so many hash classes.
 HASH_CLASSES = 64
@@ -60,7 +61,8 @@ def use_counts(items: DataFrame, targets: DataFrame, seed: int = 11) -> DataFram
     mixed = targets.select("source").distinct()
     in_mix = items.join(small_side(mixed), "source", "left_semi")
     marked = one_per_text(in_mix)
-    plans = plan(marked, targets).select("source", "copies")
+    marked = materialize(marked)
+    plans = materialize(plan(marked, targets).select("source", "copies"))
     size_class = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 4)).otherwise(-1).cast("int")
     used = (
         marked.filter(F.col("counts") & (F.col("size") > 0))
