@@ -17,6 +17,24 @@ def test_statistics_of_known_texts():
     assert quality.measure(None) == quality.measure("  \n ") == (0, *[0.0] * 12)
 
 
+DECIMAL = "The average latency of the model dropped to 9.11 seconds"
+IN_TURN = "The bag was left near the door. The front of it had been opened again.\n"
+
+
+def test_repeats_with_decimals_and_in_turn():
+    share = lambda t: dict(zip(quality.STATISTICS, quality.measure(t)))["repeat_share"]
+    assert share(f"{DECIMAL}. " * 13) == pytest.approx(12 / 13) and share(f"{DECIMAL}.\n" * 13) == pytest.approx(12 / 13)
+    assert share(IN_TURN * 8) == pytest.approx(14 / 16) and share("Gone.Gone.Gone.Gone.") == pytest.approx(0.75)
+    assert share("It rose by 9.11 seconds. It fell by 8.11 seconds.") == 0
+
+
+def test_repeated_prose_is_junk(spark):
+    rows = [(i, text) for i, (_, _, text) in enumerate(EXAMPLES * 3)]
+    rows += [(1000, f"{DECIMAL}. " * 13), (1001, f"{DECIMAL}.\n" * 13), (1002, IN_TURN * 8)]
+    got = {r.id: r.kind for r in quality.kinds_of_texts(spark.createDataFrame(rows, "id bigint, text string"), "id", "text").collect()}
+    assert [got[i] for i in (1000, 1001, 1002)] == ["junk"] * 3
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=200))
 def test_statistics_are_finite(text):
