@@ -226,9 +226,10 @@ def pii_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return spread_table(spark, folder, "documents").select("doc_id", out.alias("t")).select("doc_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
 
 
-def _page_words(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of the notes, placed on pages by their place in the text."""
-    words = table(spark, folder, "documents").filter(F.col("source") == "sheet_note").select("doc_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("word_no", "text"))
+def _page_words(spark: SparkSession, folder: str, source: str | None = None) -> DataFrame:
+    """Words of all documents, or of one source's, placed on pages by their place in the text."""
+    docs = table(spark, folder, "documents")
+    words = (docs if source is None else docs.filter(F.col("source") == source)).select("doc_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("word_no", "text"))
     x0, y0 = (F.col("word_no") % 8 * 120).cast("double"), (F.floor(F.col("word_no") % 400 / 8) * 28 + F.col("word_no") % 3).cast("double")
     return words.select("doc_id", (F.col("word_no") / 400).cast("int").alias("page"), "word_no", "text", x0.alias("x0"), y0.alias("y0"), (x0 + 9 * F.length("text")).alias("x1"), (y0 + 20).alias("y1"))
 
@@ -239,20 +240,37 @@ def page_rows(spark: SparkSession, folder: str) -> DataFrame:
     return layout.split_by_gap(rows, 60, [*layout.PAGE, "row_no"]).select("doc_id", "page", "word_no", "row_no", "part_no")
 
 
-def column_parts(spark: SparkSession, folder: str) -> DataFrame:
-    """Column parts of the pages' words, with rows by their place."""
-    words = _page_words(spark, folder).withColumn("row_no", F.floor(F.col("word_no") % 400 / 8).cast("int"))
+def _column_parts(words: DataFrame) -> DataFrame:
+    words = words.withColumn("row_no", F.floor(F.col("word_no") % 400 / 8).cast("int"))
     return layout.split_by_gap(words, 60, [*layout.PAGE, "row_no"]).select("doc_id", "page", "word_no", "row_no", "part_no")
 
 
-def nearest_columns(spark: SparkSession, folder: str) -> DataFrame:
-    """The nearest of six header anchors of each word."""
-    words = _page_words(spark, folder)
+def column_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Column parts of the notes' words, with rows by their place; of the notes only, as its SQL."""
+    return _column_parts(_page_words(spark, folder, "sheet_note"))
+
+
+def column_parts_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Column parts of all documents' words, with rows by their place."""
+    return _column_parts(_page_words(spark, folder))
+
+
+def _nearest_columns(words: DataFrame) -> DataFrame:
     cells = words.select("doc_id", "page", F.col("word_no").alias("cell_no"), ((F.col("x0") + F.col("x1")) / 2).alias("x"))
     anchors = words.select("doc_id", "page").distinct().withColumn("anchor_no", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("ax", (F.col("anchor_no") * 170).cast("double"))
     return layout.nearest_anchor(cells, anchors, ["doc_id", "page"]).select("doc_id", "page", "cell_no", "anchor_no")
 
 
+def nearest_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest of six header anchors of each of the notes' words; of the notes only, as its SQL."""
+    return _nearest_columns(_page_words(spark, folder, "sheet_note"))
+
+
+def nearest_columns_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest of six header anchors of each word of all documents."""
+    return _nearest_columns(_page_words(spark, folder))
+
+
 def login_limits(spark: SparkSession, folder: str) -> DataFrame:
     """Decisions on attempts per user, a second of the events standing for a millisecond."""
     now = F.unix_seconds(F.col("ts").cast("timestamp"))
@@ -297,7 +315,8 @@ QUERIES = {
         rubric_cases, rubric_batches, rubric_winners, rubric_assertions, arena_leaderboard, sheet_validation, orphan_images, duplicate_images,
         sheet_truth, truth_errors, result_errors, error_classes, confidence_scales, registry_first, registry_merge, registry_history,
         registry_tags, registry_efficacy, registry_sample, doc_scores, doc_summary, doc_types, doclog_summary, doclog_kinds, pii_spans,
-        pii_redacted, page_rows, column_parts, nearest_columns, login_limits, runs_merged, runs_new, runs_retained, seeded_draws, markup_texts,
+        pii_redacted, page_rows, column_parts, column_parts_all, nearest_columns, nearest_columns_all, login_limits, runs_merged, runs_new, runs_retained,
+        seeded_draws, markup_texts,
     )
 }
 

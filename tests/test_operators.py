@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import values as V
 from sievework.operators import arena, doclog, draws, layout, pii, redaction, registry, sheets, skew
+from sievework.plans import reference
 from sievework.sources import readers, sinks
 from sievework.streaming import limits
 
@@ -200,3 +201,20 @@ def test_windowed_stream(spark, tmp_path):
     counts = rollups.windowed_counts(rollups.stream_of(spark, str(tmp_path), "ev"), "ts", [])
     rollups.run_to_table(counts, "counted", "complete", f"{tmp_path}/c")
     assert sorted(r.n for r in spark.table("counted").collect()) == [3, 3]
+
+
+def test_pages_of_all_documents(spark, tmp_path):
+    texts = {0: ("sheet_note", "ab " * 20), 1: ("leaflet", "각인 비교 abcdefghijkl x " * 105), 2: (None, "one two three")}
+    spark.createDataFrame([(i, t, s) for i, (s, t) in texts.items()], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows, nearest = set(), set()
+    for i, (_, text) in texts.items():
+        reach, part = 0, 0
+        for n, word in enumerate(text.split()):
+            x0, x1 = n % 8 * 120, n % 8 * 120 + 9 * len(word)
+            reach, part = (x1, 0) if n % 8 == 0 else (max(reach, x1), part + (x0 - reach > 60))
+            rows.add((i, n // 400, n, n % 400 // 8, part))
+            nearest.add((i, n // 400, n, min(range(6), key=lambda a: abs(a * 170 - (x0 + x1) / 2))))
+    got = lambda name: [tuple(r) for r in reference.QUERIES[name](spark, str(tmp_path)).collect()]
+    for name, want in (("page_rows", rows), ("column_parts_all", rows), ("nearest_columns_all", nearest)):
+        assert len(found := got(name)) == len(want) and set(found) == want, name
+    assert set(got("column_parts")) == {r for r in rows if r[0] == 0} and set(got("nearest_columns")) == {r for r in nearest if r[0] == 0}
