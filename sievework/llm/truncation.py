@@ -149,7 +149,7 @@ def judge(rows: DataFrame, key: str, source: str, column: str) -> DataFrame:
     ``at_limit``. Null and blank texts are not truncated. A text that ends with a
     full stop or a closing bracket and no cut mark is finished whatever its length; so
     is one whose last words end lines elsewhere, unless it stops exactly at its
-    source's limit just where a full stop belongs. Rows are judged each by
+    source's limit, or a stripped blank before it, just where a full stop belongs. Rows are judged each by
     themselves, repeated rows alike; a null source is a source of its own.
     """
 
@@ -198,7 +198,9 @@ def judge(rows: DataFrame, key: str, source: str, column: str) -> DataFrame:
     judged = materialize(judged.withColumn("reason", reason))
     limits = source_limits(judged)
     with_limits = salted_left_join(judged.withColumn("_source", F.coalesce("_source", F.lit("\0"))), limits, ["_source"])
-    at_limit = (F.col("n_chars") == F.col("char_limit")) | F.col("n_bytes").between(F.col("byte_limit") - 2, F.col("byte_limit"))
+    # a whole last word one short of the limit: the blank behind it was the limit's character and is stripped
+    blank_cut = (F.col("n_chars") == F.col("char_limit") - 1) & F.coalesce(F.col("clue") != "cut_word", F.lit(True))
+    at_limit = (F.col("n_chars") == F.col("char_limit")) | blank_cut | F.col("n_bytes").between(F.col("byte_limit") - 2, F.col("byte_limit"))
     bare = (F.col("verdict") == "open") & F.coalesce("stop_due", F.lit(False)) & F.coalesce(at_limit, F.lit(False))
     return with_limits.select(
         F.col("_key").alias(key),

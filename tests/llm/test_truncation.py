@@ -49,6 +49,18 @@ def test_limit_where_a_full_stop_belongs(spark):
     assert got[50] == "at_limit" and got[51] is None
 
 
+def test_limit_behind_a_stripped_blank(spark):
+    body = "의사와 상담해야 합니다. " * 20
+    rows = [(i, "f", body[:60] + "함께 삼키십") for i in range(8)] + [(20 + i, "g", "물과 함께 삼키십시오. 의사와 상담해야 합니다.\n또한 함께 삼키십시오.") for i in range(5)]
+    exact = (body[:100] + "의사와 상담해야 합니다")[-66:]
+    rows += [(50, "f", exact[1:]), (51, "f", exact[1:] + " "), (52, "f", exact[2:]), (53, "g", exact[1:]), (54, "f", rows[0][2][1:])]
+    judged = truncation.judge(spark.createDataFrame(rows, "id bigint, feed string, at string"), "id", "feed", "at")
+    got = {r.id: (r.reason, r.at_limit) for r in judged.collect()}
+    assert got[50] == got[51] == ("at_limit", True) and got[52] == got[53] == (None, False)
+    assert got[0] == ("cut_word", True) and got[54] == ("cut_word", False)  # cut inside a word: no blank was stripped
+    assert {r.feed: r.n_at_limit for r in truncation.truncation_report(judged, "feed").collect()} == {"f": 10, "g": 0}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id bigint, feed string, at string, reason string")
     assert truncation.judge(df, "id", "feed", "at").count() == 0
