@@ -115,18 +115,19 @@ def words_udf(values: pa.Array) -> pa.Array:
 
 def candidates(tokens: list[str], longest: int) -> set[tuple[str, int, int]]:
     """Possible spellings of name tokens in a value: runs of neighbouring words written
-    together, of at most ``longest`` characters, with and without an ending. Each with
+    together, of at most ``longest`` characters, not counting an ending that is taken off. Each with
     its first and last word."""
     out = set()
     for first in range(len(tokens)):
         joined = ""
         for last in range(first, len(tokens)):
             joined += tokens[last]
-            if len(joined) > longest:
+            if len(joined) > longest + max(map(len, ENDINGS)):
                 break
-            out.add((joined, first, last))
+            if len(joined) <= longest:
+                out.add((joined, first, last))
             for ending in ENDINGS:
-                if joined.endswith(ending) and len(joined) > len(ending):
+                if joined.endswith(ending) and 0 < len(joined) - len(ending) <= longest:
                     out.add((joined[: -len(ending)], first, last))
     return out
 

@@ -45,3 +45,8 @@ def test_deletion_neighbours_reach_every_single_edit():
 def test_very_long_value(spark, reference):
     long = spark.createDataFrame([("shape", "x " * 5000 + "round")], "field string, value string")
     assert canonical.map_values(long, reference).first().value_id in (0, 1)
+
+
+def test_long_ending_does_not_count():
+    assert canonical.candidates(["transparentcoloured"], 16) == {("transparent", 0, 0)}
+    assert canonical.candidates(["x" * 17 + "coloured"], 16) == set()
