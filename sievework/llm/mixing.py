@@ -22,10 +22,10 @@ def one_per_text(items: DataFrame) -> DataFrame:
     """``items`` with ``counts``: whether the row stands for its text.
 
     Of rows with one ``text_key`` in any source of the mix the one with the smallest
-    ``item`` stands for the text; the others are not used.
+    ``item``, null before others, then the smallest ``row`` stands for the text; the others are not used.
     """
-    stands = items.groupBy("text_key").agg(F.min("item").alias("item"))
-    return items.join(stands.withColumn("counts", F.lit(True)), ["text_key", "item"], "left").withColumn(
+    stands = items.groupBy("text_key").agg(F.min(F.struct("item", "row"))["row"].alias("row"))
+    return items.join(stands.withColumn("counts", F.lit(True)), ["text_key", "row"], "left").withColumn(
         "counts", F.coalesce("counts", F.lit(False))
     )
 
@@ -59,6 +59,8 @@ def use_counts(items: DataFrame, targets: DataFrame, seed: int = 11) -> DataFram
     size class, then by hash, so the uses are spread evenly over all sizes.
     """
     mixed = targets.select("source").distinct()
+    # items may be null or repeated: each row has a number of its own, written down so that it stays
+    items = materialize(items.withColumn("row", F.monotonically_increasing_id()))
     in_mix = items.join(small_side(mixed), "source", "left_semi")
     marked = one_per_text(in_mix)
     marked = materialize(marked)
@@ -66,20 +68,20 @@ def use_counts(items: DataFrame, targets: DataFrame, seed: int = 11) -> DataFram
     size_class = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 4)).otherwise(-1).cast("int")
     used = (
         marked.filter(F.col("counts") & (F.col("size") > 0))
-        .select("item", "source", size_class.alias("size_class"), F.pmod(F.xxhash64(F.lit(seed), "item"), F.lit(HASH_CLASSES)).cast("int").alias("hash_class"))
+        .select("row", "item", "source", size_class.alias("size_class"), F.pmod(F.xxhash64(F.lit(seed), "item"), F.lit(HASH_CLASSES)).cast("int").alias("hash_class"))
     )
     stratum = ["source", "size_class", "hash_class"]
     before = Window.partitionBy("source").orderBy("size_class", "hash_class").rowsBetween(Window.unboundedPreceding, -1)
     # at most HASH_CLASSES rows per source and size class
     bases = used.groupBy(*stratum).agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    ranked = used.withColumn("rank", F.row_number().over(Window.partitionBy(*stratum).orderBy(F.xxhash64(F.lit(seed), "item"), "item")))
+    ranked = used.withColumn("rank", F.row_number().over(Window.partitionBy(*stratum).orderBy(F.xxhash64(F.lit(seed), "item"), "item", "row")))
     summed = ranked.join(small_side(plans), "source").join(bases, stratum)
     upto = F.col("base") + F.col("rank")
     counted = summed.select(
-        "item",
+        "row",
         (F.floor(upto * F.col("copies") + offset(seed, "source")) - F.floor((upto - 1) * F.col("copies") + offset(seed, "source"))).cast("int").alias("use_count"),
     )
-    return items.select("item", "source", "size").join(counted, "item", "left").withColumn("use_count", F.coalesce("use_count", F.lit(0)))
+    return items.select("row", "item", "source", "size").join(counted, "row", "left").drop("row").withColumn("use_count", F.coalesce("use_count", F.lit(0)))
 
 
 def share_report(counted: DataFrame, targets: DataFrame) -> DataFrame:

@@ -230,20 +230,25 @@ def fit_mixture(featured: DataFrame, examples: np.ndarray, groups: list[str], ki
     return mixture
 
 
-def label(featured: DataFrame, key: str, mixture: Mixture) -> DataFrame:
-    """``key, kind, p_prose``: the most likely kind of each row, and how likely it is prose."""
+def label(featured: DataFrame, mixture: Mixture) -> DataFrame:
+    """``featured`` without its last column ``x``, with ``kind, p_prose``: the most likely kind of each row, and how likely it is prose.
+
+    Rows pass through one by one, so null and repeated keys are kept as they are.
+    """
     members = np.array([[kind == x for x in KINDS] for kind in mixture.kinds], dtype=float)
+    kept = featured.columns[:-1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b) if b.num_rows else np.zeros((0, len(mixture.center)))
             p = mixture.shares((x - mixture.center) / mixture.scale) @ members if len(x) else np.zeros((0, len(KINDS)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([KINDS[i] for i in p.argmax(axis=1)] if len(p) else [], pa.string()), pa.array(p[:, 0])],
-                [key, "kind", "p_prose"],
+                [*b.columns[:-1], pa.array([KINDS[i] for i in p.argmax(axis=1)] if len(p) else [], pa.string()), pa.array(p[:, 0])],
+                [*kept, "kind", "p_prose"],
             )
 
-    return featured.select(F.col(key).cast("bigint").alias(key), "x").mapInArrow(run, f"{key} bigint, kind string, p_prose double")
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in featured.dtypes[:-1])
+    return featured.mapInArrow(run, f"{schema}, kind string, p_prose double")
 
 
 def example_features(spark: SparkSession) -> tuple[np.ndarray, list[str], list[str]]:
@@ -263,8 +268,7 @@ def kinds_of_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
     """
     measured = materialize(statistics(texts, key, text).withColumn("x", F.array(*features())))
     mixture = fit_mixture(measured.filter("n_words > 0"), *example_features(texts.sparkSession))
-    labelled = label(measured, key, mixture).withColumnRenamed(key, "_key")
-    joined = measured.drop("x").join(labelled, measured[key] == F.col("_key")).drop("_key")
+    labelled = label(measured, mixture)
     wrapped = (F.col("prose_share") >= 0.6) & (F.col("list_share") + F.col("column_share") < 0.05) & (F.col("words_per_line") >= 5)
     sound = ((F.col("prose_share") >= 0.75) | wrapped) & (F.col("repeat_share") < 0.6) & (F.col("strange_ratio") < 0.1) & (F.col("symbol_ratio") < 0.2)
-    return joined.withColumn("kind", F.when(F.col("n_words") == 0, F.lit("junk")).when(sound, F.lit("prose")).otherwise(F.col("kind")))
+    return labelled.withColumn("kind", F.when(F.col("n_words") == 0, F.lit("junk")).when(sound, F.lit("prose")).otherwise(F.col("kind")))

@@ -34,6 +34,15 @@ def test_copies_count_once_and_edge_rows(spark, targets):
     assert len(got) == 8 and got[2] == got[5] == got[6] == got[7] == got[8] == 0 and got[1] <= 1
 
 
+def test_null_and_repeated_items(spark, targets):
+    rows = [(None, "b", 10, 1), (None, "b", 10, 2), (3, "b", 10, 3), (3, "b", 10, 3), (4, "b", 10, 4)]
+    df = spark.createDataFrame(rows, "item bigint, source string, size bigint, text_key bigint")
+    got = mixing.use_counts(df, targets).collect()
+    assert len(got) == len(rows)
+    # "b" alone: every text is used max_repeats times, one row of the repeated one
+    assert sorted((r.item or 0, r.use_count) for r in got) == [(0, 3), (0, 3), (3, 0), (3, 3), (4, 3)]
+
+
 def test_empty(spark, targets):
     empty = spark.createDataFrame([], "item bigint, source string, size bigint, text_key bigint")
     assert mixing.use_counts(empty, targets).count() == 0

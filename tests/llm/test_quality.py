@@ -52,6 +52,13 @@ def test_held_out_kinds(spark):
     assert hits / len(kinds) >= 0.97 and got[10_000] == got[10_001] == "junk" and len(got) == len(rows) + 2
 
 
+def test_null_and_repeated_keys_keep_their_rows(spark):
+    rows = [(i, text) for i, (_, _, text) in enumerate(EXAMPLES)] + [(None, EXAMPLES[0][2]), (None, "a\tb\tc\n1\t2\t3"), (0, EXAMPLES[0][2]), (0, None)]
+    got = quality.kinds_of_texts(spark.createDataFrame(rows, "id bigint, text string"), "id", "text").collect()
+    assert len(got) == len(rows) and sum(r.id is None for r in got) == 2
+    assert sorted(r.kind for r in got if r.id == 0) == ["junk", "prose", "prose"]
+
+
 def test_empty_table(spark):
     assert quality.kinds_of_texts(spark.createDataFrame([], "id bigint, text string, kind string"), "id", "text").count() == 0
 
