@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from sievework.llm import truncation
 
@@ -14,16 +16,53 @@ def test_ending(text, verdict):
     assert truncation.ending(text)[0] == verdict
 
 
-def test_word_ends_skip_a_bare_last_word():
-    assert list(truncation.word_ends("가 나...")) == [("", "가", False, False)]
-    assert list(truncation.word_ends("가 나.")) == [("", "가", False, False), ("가", "나", True, True)]
-    assert list(truncation.word_ends("가 나. 다\n라 9마")) == [("", "가", False, False), ("가", "나", True, True), ("나", "다", True, False), ("", "라", False, False)]
+def test_count_words_skips_a_bare_last_word():
+    assert truncation.count_words(["가 나..."]) == {("", "가"): [1, 0, 0]}
+    assert truncation.count_words(["가 나."]) == {("", "가"): [1, 0, 0], ("가", "나"): [1, 1, 1]}
+    assert truncation.count_words(["가 나. 다\n라 9마"]) == {("", "가"): [1, 0, 0], ("가", "나"): [1, 1, 1], ("나", "다"): [1, 1, 0], ("", "라"): [1, 0, 0]}
+    assert truncation.count_words([None, "", " \n", "(문의: 약국)"]) == {("", "(문의:"): [1, 0, 0]}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab1. \n…)", max_size=40), max_size=5))
+def test_count_words_equals_brute_force(texts):
+    want = {}
+    for text in texts:
+        lines = [x.split() for x in text.split("\n") if x.split()]
+        for i, line in enumerate(lines):
+            for k, word in enumerate(line):
+                bare, stop = truncation.core(word)
+                last = k == len(line) - 1
+                if last and i == len(lines) - 1 and not (stop and truncation.ending(text)[0] == "closed"):
+                    continue
+                key = (truncation.folded(truncation.core(line[k - 1])[0]) if k else "", truncation.folded(bare))
+                n, end, stops = want.get(key, (0, 0, 0))
+                want[key] = [n + 1, end + (last or stop), stops + stop]
+    assert truncation.count_words(texts) == want
 
 
 def test_trie_equals_all_prefixes(spark):
-    words = spark.createDataFrame([("", "abc"), ("", "abd"), ("x", "ab"), ("", "a"), ("", "abc")], "before string, word string")
-    got = {(r.before, r.word): r.n_below for r in truncation.trie(words).collect()}
-    assert got == {("", "a"): 2, ("", "ab"): 2, ("x", "a"): 1}
+    rows = [("", "abc", 2), ("", "abd", 1), ("x", "ab", 4), ("", "a", 1), ("", "b" * 3000, 1)]
+    words = spark.createDataFrame(rows, "before string, word string, n bigint")
+    asked = spark.createDataFrame([(b, w[:i]) for b, w, _ in rows[:4] for i in range(1, len(w) + 1)] + [("", "b" * 2000), ("y", "ab"), ("", None)], "before string, word string")
+    got = {(r.before, r.word): (r.n_below, r.n) for r in truncation.trie(words, asked).collect() if len(r.word) < 2000}
+    assert got == {("", "a"): (2, 3), ("", "ab"): (2, 3), ("x", "a"): (1, 4)}
+    deep = [r for r in truncation.trie(words, asked).collect() if len(r.word) >= 2000]
+    assert [(r.word, r.n) for r in deep] == [("b" * 2000, 1)]
+
+
+def test_signs_within_words_are_no_broken_markup(spark):
+    assert all(truncation.markup_start(w) < 0 for w in ("R&D", "AT&T", "A&B", "Q&a", "p&gx", "5<b>"))
+    assert [truncation.markup_start(w) for w in ("환자&l", "sm&nbs", "끝&", "가&#12", "사용</PARA", "문\\u00")] == [2, 2, 1, 1, 2, 1]
+    rows = [(i, "f", t) for i, t in enumerate(WHOLE * 8)] + [(100, "f", "이 약은 R&D"), (101, "f", "문의는 AT&T")]
+    got = {r.id: r.reason for r in truncation.judge(spark.createDataFrame(rows, "id bigint, feed string, at string"), "id", "feed", "at").collect()}
+    assert got[100] not in ("dangling", "cut_word") and got[101] not in ("dangling", "cut_word")
+
+
+def test_a_word_of_no_branch_is_no_cut_word(spark):
+    rows = [(i, "f", t) for i, t in enumerate(WHOLE * 8)] + [(100, "f", "이 약은 쿠쿠쿠쿠쿠")]
+    got = {r.id: r.reason for r in truncation.judge(spark.createDataFrame(rows, "id bigint, feed string, at string"), "id", "feed", "at").collect()}
+    assert got[100] is None
 
 
 def test_judge(spark):
