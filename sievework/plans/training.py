@@ -60,16 +60,15 @@ COLUMNS_OF: dict[tuple[str, ...], tuple[str, ...]] = {
 }
 
 
-def dataset_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    """Adjacency table of the result datasets; ``samples`` may be text or keyed by place."""
-    return shred.shred(
-        spread_table(spark, folder, "result_dataset"), "result_dataset", "dataset_id", F.col("body"), embedded=("samples",), listed=("samples",)
-    )
+def dataset_nodes(spark: SparkSession, folder: str, paths: Sequence[str] | None = None) -> DataFrame:
+    """Adjacency table of the result datasets, whole or at ``paths`` and their children; ``samples`` may be text or keyed by place."""
+    docs = spread_table(spark, folder, "result_dataset")
+    return shred.shred(docs, "result_dataset", "dataset_id", F.col("body"), embedded=("samples",), listed=("samples",), paths=paths)
 
 
 def truth_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Adjacency table of the ground truth's answers and conditions."""
-    return shred.shred(table(spark, folder, "gt_record"), "gt_record", "gt_id", F.to_json(F.struct("answer", "condition")))
+    return shred.shred_struct(table(spark, folder, "gt_record"), "gt_record", "gt_id", ["answer", "condition"])
 
 
 def _positions(entities: DataFrame) -> DataFrame:
@@ -101,23 +100,23 @@ def _inner(nodes: DataFrame, paths: Sequence[str], places: Mapping[str, str], *c
 
 
 def _inner_table(spark: SparkSession, folder: str, paths: Sequence[str], fields: Sequence[str], places: Mapping[str, str]) -> DataFrame:
-    return _inner(shred.entity_table(dataset_nodes(spark, folder), paths, fields), paths, places, "n_values", *fields)
+    return _inner(shred.entity_table(dataset_nodes(spark, folder, paths), paths, fields), paths, places, "n_values", *fields)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """One row per non-empty child object of the truth records and the result datasets."""
     kinds = {"sample": SAMPLE_PATHS, "answer": (*ANSWER_PATHS, TRUTH_ANSWER), "condition": (*CONDITION_PATHS, TRUTH_CONDITION), "attempt": ATTEMPT_PATHS}
     child = F.coalesce(*[F.when(F.col("path").isin(*paths), F.lit(kind)) for kind, paths in kinds.items()])
-    paths = [p for group in kinds.values() for p in group]
+    inner = [p for group in kinds.values() for p in group if p not in (TRUTH_ANSWER, TRUTH_CONDITION)]
     truth = shred.entity_table(truth_nodes(spark, folder), [TRUTH_ANSWER, TRUTH_CONDITION], [])
-    rest = shred.entity_table(dataset_nodes(spark, folder), [p for p in paths if p not in (TRUTH_ANSWER, TRUTH_CONDITION)], [])
+    rest = shred.entity_table(dataset_nodes(spark, folder, inner), inner, [])
     found = _positions(union_all([truth, rest]).filter(F.col("n_values") > 0))
     return found.select("parent_kind", "parent_id", "sample_pos", child.alias("child"), "child_pos")
 
 
 def p2_samples(spark: SparkSession, folder: str) -> DataFrame:
     """Flat table of the datasets' samples."""
-    return _positions(shred.entity_table(dataset_nodes(spark, folder), SAMPLE_PATHS, SAMPLE_FIELDS)).drop("path", "child_pos")
+    return _positions(shred.entity_table(dataset_nodes(spark, folder, SAMPLE_PATHS), SAMPLE_PATHS, SAMPLE_FIELDS)).drop("path", "child_pos")
 
 
 def p2_answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,7 +124,7 @@ def p2_answers(spark: SparkSession, folder: str) -> DataFrame:
     return _positions(
         union_all(
             [
-                shred.entity_table(dataset_nodes(spark, folder), ANSWER_PATHS, ANSWER_FIELDS),
+                shred.entity_table(dataset_nodes(spark, folder, ANSWER_PATHS), ANSWER_PATHS, ANSWER_FIELDS),
                 shred.entity_table(truth_nodes(spark, folder), [TRUTH_ANSWER], ANSWER_FIELDS),
             ]
         )
@@ -137,7 +136,7 @@ def p2_conditions(spark: SparkSession, folder: str) -> DataFrame:
     return _positions(
         union_all(
             [
-                shred.entity_table(dataset_nodes(spark, folder), CONDITION_PATHS, CONDITION_FIELDS),
+                shred.entity_table(dataset_nodes(spark, folder, CONDITION_PATHS), CONDITION_PATHS, CONDITION_FIELDS),
                 shred.entity_table(truth_nodes(spark, folder), [TRUTH_CONDITION], CONDITION_FIELDS),
             ]
         )
@@ -146,7 +145,7 @@ def p2_conditions(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_attempts(spark: SparkSession, folder: str) -> DataFrame:
     """Flat table of the samples' attempts."""
-    return _positions(shred.entity_table(dataset_nodes(spark, folder), ATTEMPT_PATHS, ATTEMPT_FIELDS)).drop("path")
+    return _positions(shred.entity_table(dataset_nodes(spark, folder, ATTEMPT_PATHS), ATTEMPT_PATHS, ATTEMPT_FIELDS)).drop("path")
 
 
 def p2_attempt_errors(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,7 +165,7 @@ def p2_condition_notes(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_condition_tags(spark: SparkSession, folder: str) -> DataFrame:
     """One row per tag of the conditions' notes."""
-    tags = dataset_nodes(spark, folder).filter(F.col("path").isin(*[p for p in TAG_PATHS if p.endswith("[*]")]) & shred.is_scalar())
+    tags = dataset_nodes(spark, folder, TAG_PATHS).filter(F.col("path").isin(*[p for p in TAG_PATHS if p.endswith("[*]")]) & shred.is_scalar())
     return _inner(tags, TAG_PATHS, {"child_pos": "condition", "note_pos": "notes", "tag_pos": "tags"}, F.col("scalar").alias("tag"))
 
 
