@@ -35,7 +35,7 @@ def with_truth(results: DataFrame, truths: DataFrame, order: str = "gt_id") -> D
     first = given.groupBy("sample_id").agg(F.min_by(kept, order).alias("_first"))
     keyed = results.withColumn("_variant", variant_or_original(F.col("meta")["variant"]))
     joined = salted_left_join(keyed, exact, ["sample_id", "_variant"])
-    joined = salted_left_join(joined, first, ["sample_id"])
+    joined = salted_left_join(joined, first, ["sample_id"], counted=results)
     return joined.withColumn("truth", F.coalesce("_exact", "_first")).drop("_variant", "_exact", "_first")
 
 

@@ -16,6 +16,23 @@ def test_salted_join_keeps_rows(spark):
     assert sorted((r.k or "", r.w or 0) for r in skew.salted_left_join(big, small, ["k"]).collect()) == [("", 0), ("a", 10), ("a", 10), ("b", 0)]
 
 
+def test_only_hot_keys_are_salted(spark):
+    big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("k"), "id")
+    small = spark.createDataFrame([("hot", 1), ("1", 2), ("4", 3), ("none", 4), (None, 5)], "k string, w int")
+    hot = skew.hot_keys(big, ["k"], salt_rows=100)
+    assert sorted(hot.values()) == [10, 10]  # the hot key and the nulls
+    joined = skew.salted_left_join(big, small, ["k"], salt_rows=100)
+    got = {r.id: r.w for r in joined.collect()}
+    assert len(got) == 3000 == joined.count() and all(got[i] == 1 for i in range(0, 3000, 3)) and got[1] == 2 and got[4] == 3 and got[2] is None and got[7] is None
+    assert skew.hot_keys(big.limit(0), ["k"]) == {}
+
+
+def test_small_side_is_measured_in_bytes(spark):
+    df = spark.createDataFrame([("x" * 1000, [1], None)] * 10, "a string, b array<int>, c string")
+    hinted = lambda most: "ResolvedHint" in skew.small_side(df, most)._jdf.queryExecution().analyzed().toString()
+    assert hinted(20_000) and not hinted(5_000) and skew.small_side(df.limit(0)).count() == 0
+
+
 def boxes(spark, rows):
     df = spark.createDataFrame([(r[0], *map(float, r[1:])) for r in rows], "doc_id bigint, a double, b double, c double, d double")
     return df.select("doc_id", V.box(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("box"))
