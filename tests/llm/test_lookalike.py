@@ -39,3 +39,20 @@ def test_found_cells(spark):
     refs = spark.createDataFrame([("q1", "n", "AB"), ("q1", "n", "AB"), ("q2", "n", "Δ1"), ("q3", "n", None), (None, "n", "AB")], "item string, field string, value string")
     assert sorted(tuple(r) for r in lookalike.same_look_cells(cells, refs).collect()) == [(1, "n"), (3, "n"), (8, "n")]
     assert lookalike.same_look_cells(cells.limit(0), refs).count() == 0
+
+
+def test_letters_of_the_confusables_data(spark):
+    seen = lookalike.Seen(lookalike.confusables(spark))
+    pairs = {"α": "a", "ρ": "p", "к": "k", "ɡ": "g", "ɑ": "a", "ı": "i", "З": "3", "А": "A", "І": "I", "ꓐ": "B", "ꓳ": "O"}
+    assert {x: lookalike.look(x, seen) for x in pairs} == pairs
+    apart = "0OolI1|ΔΩλβœÆé²①가힣일二ア"
+    assert lookalike.look(apart, seen) == apart
+    df = spark.createDataFrame([("ραɡе",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(lookalike.look_of(spark, "t")).collect()] == ["page", None, ""]
+
+
+def test_one_hot_item_and_long_texts(spark):
+    rows = [(i, "hot", "n", "ＡＢ" if i % 2 else "AB") for i in range(300)] + [(1000, "q", "n", "가" * 50_000 + "А"), (1001, "q", "n", "가" * 50_000)]
+    cells = spark.createDataFrame(rows, "row_id bigint, item string, field string, value string")
+    refs = spark.createDataFrame([("hot", "n", "AB"), ("q", "n", "가" * 50_000 + "A")], "item string, field string, value string")
+    assert sorted(r.row_id for r in lookalike.same_look_cells(cells, refs).collect()) == [*range(1, 300, 2), 1000]
