@@ -1,4 +1,7 @@
-"""Inspected examples of each kind of text: (kind, group, text). Own texts, none from the data."""
+"""Inspected examples of each kind of text: (kind, group, text).
+
+Most are own texts; ``INSPECTED`` are short ones of the documents, looked at and named by hand.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +20,37 @@ _ITEMS_KO = ["앞면 확인", "초록 원형", "각인 비교", "임부 주의",
 _ITEMS_EN = ["front side photo", "green round tablet", "imprint check", "pregnancy caution", "storage note", "score line depth", "second reviewer", "grey octagon", "milk avoid", "AB 12 / CD", "bag number", "logo position"]
 
 
+# Short documents of the test data, with the kind that a reader gave them.
+INSPECTED = (
+    ("list", "list marked", "a) CF / V7\nb) 초록 도넛형\nc) 검정 오각형\nd) 하하헤츄정100mg\ne) 시우이구강붕해정100밀리그램\nf) 당뇨 환자 의사 상담"),
+    ("list", "list marked", "– 바우노트츄정1 mg(사모빈염산염)\n– 오모필름코팅정1mg\n– ZK9 / MR 50\n– 등록 사진 비교\n– 간질환 환자 병용 금기"),
+    ("list", "list bare", "second reviewer\na heavy meal unknown\nDOM / AX\ngreen tea avoid\npink hexagonal tablet"),
+    ("list", "list inline", "봉투 번호 대조, 델레구강붕해정10mg, 봉투 번호 대조, 하양 도넛형, 메레이나서방정2mg(아솔진), 앞면 각인 확인"),
+    ("list", "list of labels", "단비제약 제품의 로고와 닮았다는 설명은 등록 자료로 확인되지 않았다.\n뒷면: 운전자 신중 투여\n분류: 분할선 여부\n각도 = 노랑 장방형\n색상: 봉투 번호 대조\n제조: 등록 사진 비교"),
+    ("table", "table commas", "Table 2\nLT 1,라미정250mg,KC-065654\nNX-08,Fiönat아츄정40mg,KC-051005\nHG,세메레서방정250µg,KC-077296\n500,토트츄정25mg,KC-049196"),
+    ("table", "table commas", "item,조도,back\n론파메우캡슐2.5mg,역광,500\n하시연질캡슐40밀리그램(메아펜염산염),정상,PLN 10\n멘다포필름코팅정12.5mg,역광,OBE"),
+    ("table", "table semicolons", "[붙임] 판독 현황\n조도;case;conf;color;배경;판정\n정상;KC-048678;0.9;연두;무늬;오답\n정상;KC-013788;9.58;검정;복잡;오답\n어두움;KC-009092;48.4;파랑;복잡;정답"),
+    ("table", "table semicolons", "Table 2\n3949.369;BS25;남색;역광\n0.68;ZK9;남색;강한 조명\n1;OBE;검정;역광\n1;LT 1;주황;강한 조명"),
+    ("table", "table spaces", "back    latency  배경  front  조도     color  conf  shape\nOBE     3.842    무늬  TL-4   정상     분홍     69.1  도넛형\nBS25    53.559   단순  ZK9    강한 조명  투명     424   육각형"),
+    ("table", "table tabs", "conf\tcase\tlatency\tcolor\tshape\n1267.6\tKC-034124\t3916\t주황\t하트형\n804.88\tKC-077936\t75.452\t파랑\t반원형\n24.58\tKC-012736\t0\t파랑\t마름모형"),
+    ("table", "table rules", "| item | HG | 조도 | case |\n|---|---|---|---|\n| 델트페정40mg | HG | 역광 | KC-080780 |\n| Séradol라캡슐250mg | DOM | 어두움 | KC-090502 |"),
+    ("junk", "junk codes", "HZd7oRLy0qx1JO/2ka0xCpwFKQGHeYYl9XQEKGm1auvtV29GSYNGQgbpPPMZMQgZUVhizwh4khhN\nJ8DLy92Bj+cE3waynYVYT2yPVMt8aodylWIwhV0OFTQ5tY3j/BphknjOWWZ50X2hLEuA77KuX00U"),
+    ("junk", "junk codes", "03e944065179f0fa1fd07fca810a7776815b0842d898450e66377410756be5eccaadf4625870\n716f9a240fb0c616361b5180d8f57cf11b4a8531"),
+    ("junk", "junk letters", "gkhhrckw kzjb kcvb mqpbkc kovgfpeafxx hkpnjcos vkqxfbqanklc nzqphtm xjkhhmcjlhxef fn jxbmtvxwrie"),
+    ("junk", "junk letters", "ㅉ ㅉㅠㅇㅠㅖㅠㅁㄲㅓㅠㅌ ㄾㅉ ㅓㅋㅞㅋㅃㅠㅟ ㅢㄸㅋㅒㅠㅃㄴㅁㅋㅑ ㅉㅋㄻㅠㅑ ㅉㅇㅋㅅㅋㄸ ㄻㅖㅠㅡㄱㅠㅜㅋㅕㅓㅏ ㅚㅊㅡㅑㅠㅛㅠㅓㅟ"),
+    ("junk", "junk symbols", "[^0],{?/0!I^|II|1.  |./ 0. \"<+@1  ,o.?i  .`), //_} .i ,~:o _l (0!?#;& 0 .I\",=\\0+]|>} }&,0\"I^>> . $%l!1?o0,0"),
+    ("junk", "junk dashes", "- - - - -\n- - - - -\n- - - - -\n- - - - -\n- - - - -\n- - - - -"),
+    ("junk", "junk menus", "English | English | 인쇄 | Menu | 인쇄 | 인쇄 | 내 기록 | 더보기 | 한국어 | 공유 | 공유 | 공유 | 공유 | 목록 | Top | 설정 | Top"),
+    ("junk", "junk menus", "도움말 > 더보기 > 이전 > 로그인 > 홈 > Top > Top > Menu > 인쇄 > 한국어 > 더보기 > 인쇄 > 인쇄 > Top > 로그인 > 목록 > Top"),
+    ("junk", "junk names", "FLD-054167_back.jpg\nFLD-076170_front.png\nFLD-062672_back.png\nKC-076741_back.jpg\nLAB-037021_front.jpg"),
+    ("prose", "prose wrapped en", "Mild cases of stomach pain went away within\n4 days. If you notice a dry mouth or\ndizziness, keep the package and ask a\npharmacist. Mild cases of cold sweats went\naway within 11 days."),
+    ("prose", "prose wrapped en", "As a rule, lw-optic-7 first read PLN 10,\nthen corrected itself to NX-08.  Its\nconfidence stayed at 91.5 percent because\nthe back was unreadable."),
+    ("prose", "prose wrapped ko", "동료가 3번 다시 촬영했으나 측면 사진만 판독이 가능했다. 동료가 6번 다시\n촬영했으나 정면 사진만 판독이 가능했다. 강한 조명 조건에서 촬영한 사진은\n단순 배경 때문에 윤곽이 흐려졌다."),
+    ("prose", "prose ko", "어두움 사진만 있다면 측면 사진을 한 장 더 추가해 보세요. 사진을 올리기 전에 파일 이름이 정답지와 같은지 확인해 주세요."),
+    ("prose", "prose en", "It could not decide between two coated tablets of the same colour. However, the model first read one imprint, then corrected itself."),
+)
+
+
 def _rows(gap: str, numbers: bool = False) -> str:
     head = ["shape", "color", "conf", "판정", "item"]
     body = [["원형", "하양", "0.91", "정답", "KC-001234"], ["타원형", "노랑", "12.5", "오답", "KC-004321"], ["장방형", "갈색", "88", "부분", "KC-009876"], ["삼각형", "초록", "7.25", "정답", "KC-005555"]]
@@ -73,6 +107,8 @@ def _examples() -> list[tuple[str, str, str]]:
     add("junk", "junk menus", "홈 > 목록 > 설정 > 도움말 > 로그인 > 다음 > 이전 > 인쇄 > 공유 > Menu > Top > 닫기 " * 3, "홈  설정  로그인  다음  목록  Menu  English  공유  닫기 " * 4)
     add("junk", "junk names", "\n".join(f"AB-{i * 37 % 1000:06d}_front.jpg" for i in range(20)))
     add("junk", "junk letters", " ".join("qxzjvkwpfbmht"[(i * 5) % 9 :][: 2 + i % 4] + "rtplkj"[i % 5 :] for i in range(60)))
+    for kind, group, text in INSPECTED:
+        add(kind, group, text)
     return out
 
 

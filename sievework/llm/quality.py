@@ -29,7 +29,7 @@ _ENDINGS = tuple(KOREAN_ENDINGS.split())
 LIST_LINE = re.compile(
     r"\s*(?:[-*·•▪◦□■○●▶>–—※☐✓+]\s|\(?(?:\d{1,3}|[a-zA-Z가-힣]|[ivx]{1,4})[.)]\s|[①-⑳]|[^\s:=]{1,12}(?: [^\s:=]{1,12})?\s?[:=]\s)"
 )
-COLUMN_GAP = re.compile(r"\t|\s*[|│┃]\s*|\S {2,}(?=\S)|(?<=\S),(?=\S)|[-─]{3,}")
+COLUMN_GAP = re.compile(r"\t|\s*[|│┃]\s*|\S {2,}(?=\S)|(?<=\S)[,;](?=\S)|[-─]{3,}")
 #: Stops and line ends; a point between two digits belongs to the number.
 SENTENCE_BREAK = re.compile(r"(?:[!?。\n]|\.(?!(?<=\d\.)\d))+\s*")
 STOPS = (".", "!", "?", "。")
@@ -75,8 +75,9 @@ def measure(text: str | None) -> tuple[float, ...]:
     if not text or not text.strip():
         return (0, *[0.0] * (len(STATISTICS) - 1))
     get = _COUNTS.__getitem__
-    total = lines = words = chars = stops = prose = marked = columns = 0
+    total = lines = words = chars = letters = stops = prose = marked = columns = 0
     runs_on = False  # the line before is prose without a full stop
+    waiting = 0  # characters of lines before that are prose if the sentence they begin goes on in prose
     for line in text.split("\n"):
         parts = line.split()
         if not parts:
@@ -87,13 +88,17 @@ def measure(text: str | None) -> tuple[float, ...]:
         lines += 1
         words += w
         chars += n
+        letters += sum(map(len, parts))
         stop = parts[-1].rstrip(CLOSERS).endswith(STOPS)
         stops += stop
         is_prose = (common >= 2 and common * 8 >= w) or (common > 0 and common * 5 >= w)
         wrapped, runs_on = runs_on, is_prose and not stop
-        if is_prose or (wrapped and not LIST_LINE.match(line) and not COLUMN_GAP.search(line)):
-            prose += n
+        plain = not LIST_LINE.match(line) and not COLUMN_GAP.search(line)
+        if is_prose or (wrapped and plain):
+            prose += n + waiting
+            waiting = 0
         else:
+            waiting = waiting + n if plain and not stop and w >= 5 else 0
             if LIST_LINE.match(line):
                 marked += n
             if len(COLUMN_GAP.findall(line)) >= 2:
@@ -102,7 +107,7 @@ def measure(text: str | None) -> tuple[float, ...]:
     repeats = len(said) - len(set(said))
     size = len(text)
     return (
-        words, chars / words, (total >> 64 & _LOW) / size, (total >> 96 & _LOW) / size, (total >> 128) / size, stops / lines,
+        words, letters / words, (total >> 64 & _LOW) / size, (total >> 96 & _LOW) / size, (total >> 128) / size, stops / lines,
         (total & _LOW) / words, (total >> 32 & _LOW) / words, prose / chars, marked / chars, columns / chars, words / lines,
         repeats / max(1, len(said)),
     )
@@ -111,11 +116,11 @@ def measure(text: str | None) -> tuple[float, ...]:
 def statistics(texts: DataFrame, key: str, text: str) -> DataFrame:
     """``key`` and the statistics of each text, all over the whole text.
 
-    ``n_words``, ``mean_word_length``; shares of characters that are symbols, digits or
+    ``n_words``, ``mean_word_length`` (characters of words alone); shares of characters that are symbols, digits or
     strange (replacement, control and mis-decoded characters); ``stop_line_share``: lines
     that end with a full stop; ``common_word_share``: function words and inflected
     endings among words; ``sentence_rate``: full stops per word; shares of characters
-    in lines with common words or running on from one (prose), behind a list mark or label (list), or with
+    in lines with common words or in one sentence with such (prose), behind a list mark or label (list), or with
     column gaps (column); ``words_per_line``; ``repeat_share``: sentences equal to
     an earlier one of the text, at any distance. A null or blank text has 0 for all. A loop over distinct words
     with remembered counts is ten times faster here than regular expressions in the JVM.
@@ -163,17 +168,24 @@ class Mixture:
 
     def shares(self, x: np.ndarray) -> np.ndarray:
         """Responsibilities of the components for standardized rows."""
+        return self.shares_and_likelihood(x)[0]
+
+    def shares_and_likelihood(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+        """Responsibilities, and the sum of the rows' log-likelihoods."""
         joint = self.log_joint(x)
-        joint -= joint.max(axis=1, keepdims=True)
-        p = np.exp(joint)
-        return p / p.sum(axis=1, keepdims=True)
+        most = joint.max(axis=1, keepdims=True)
+        p = np.exp(joint - most)
+        total = p.sum(axis=1, keepdims=True)
+        return p / total, float((most + np.log(total)).sum())
 
 
 #: Added to each variance of the standardized features, so no component collapses onto equal texts.
 RIDGE = 0.02
 #: The weight, in texts, with which the inspected examples hold a component at its start.
 ANCHOR_TEXTS = 20.0
-ROUNDS = 8
+#: The fit ends when a round raises the mean log-likelihood of the texts by less than this, or after so many rounds.
+TOLERANCE = 0.002
+ROUNDS = 40
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -199,30 +211,36 @@ def fit_mixture(featured: DataFrame, examples: np.ndarray, groups: list[str], ki
     start = np.array([z[[g == n for g in groups]].mean(axis=0) for n in names])
     mixture = Mixture(center, scale, np.full(len(names), 1 / len(names)), start.copy(), np.array([np.eye(d) * 0.5] * len(names)), [kinds[groups.index(n)] for n in names])
     k = len(names)
+    before = -np.inf
     for _ in range(rounds if rows else 0):
         now = mixture
 
         def moments(batches: Iterable[pa.RecordBatch], now: Mixture = now) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((k, 1 + d + d * d))
+            total, likelihood = np.zeros((k, 1 + d + d * d)), 0.0
             for b in batches:
                 for at in range(0, b.num_rows, 4096):
                     x = (_matrix(b.slice(at, 4096)) - now.center) / now.scale
-                    r = now.shares(x)
+                    r, gained = now.shares_and_likelihood(x)
+                    likelihood += gained
                     total[:, 0] += r.sum(axis=0)
                     total[:, 1 : 1 + d] += r.T @ x
                     for c in range(k):
                         total[c, 1 + d :] += ((x * r[:, c : c + 1]).T @ x).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.reshape(-1))], ["i", "v"])
+            flat = np.append(total.reshape(-1), likelihood)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(flat.size), pa.int32()), pa.array(flat)], ["i", "v"])
 
-        sums = np.zeros(k * (1 + d + d * d))
+        sums = np.zeros(k * (1 + d + d * d) + 1)
         for r in featured.select("x").mapInArrow(moments, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # components × moments
             sums[r["i"]] = r["v"]
-        sums = sums.reshape(k, -1)
+        sums, likelihood = sums[:-1].reshape(k, -1), sums[-1] / max(1.0, sums[:-1].reshape(k, -1)[:, 0].sum())
         weight = sums[:, 0] + ANCHOR_TEXTS
         means = (sums[:, 1 : 1 + d] + ANCHOR_TEXTS * start) / weight[:, None]
         second = sums[:, 1 + d :].reshape(k, d, d) + ANCHOR_TEXTS * (np.einsum("ki,kj->kij", start, start) + 0.1 * np.eye(d))
         covariances = second / weight[:, None, None] - np.einsum("ki,kj->kij", means, means) + RIDGE * np.eye(d)
         mixture = Mixture(center, scale, weight / weight.sum(), means, covariances, mixture.kinds)
+        if likelihood - before < TOLERANCE:
+            break
+        before = likelihood
     votes = mixture.shares(z)
     mixture.kinds = [
         max(KINDS, key=lambda kind: (sum(v for v, x in zip(votes[:, c], kinds) if x == kind), kind == mixture.kinds[c])) for c in range(k)
@@ -262,13 +280,10 @@ def example_features(spark: SparkSession) -> tuple[np.ndarray, list[str], list[s
 def kinds_of_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, the statistics, ``kind`` and ``p_prose`` of every text.
 
-    ``kind`` is prose, list, table or junk. A null or blank text is junk. The statistics are
-    written once and read by each round of the fit. An exact check follows the mixture:
-    a text that is whole prose by its lines, neither repeated nor damaged, is prose.
+    ``kind`` is prose, list, table or junk, as the mixture has it. A null or blank text is junk. The statistics are
+    written once and read by each round of the fit.
     """
     measured = materialize(statistics(texts, key, text).withColumn("x", F.array(*features())))
     mixture = fit_mixture(measured.filter("n_words > 0"), *example_features(texts.sparkSession))
     labelled = label(measured, mixture)
-    wrapped = (F.col("prose_share") >= 0.6) & (F.col("list_share") + F.col("column_share") < 0.05) & (F.col("words_per_line") >= 5)
-    sound = ((F.col("prose_share") >= 0.75) | wrapped) & (F.col("repeat_share") < 0.6) & (F.col("strange_ratio") < 0.1) & (F.col("symbol_ratio") < 0.2)
-    return labelled.withColumn("kind", F.when(F.col("n_words") == 0, F.lit("junk")).when(sound, F.lit("prose")).otherwise(F.col("kind")))
+    return labelled.withColumn("kind", F.when(F.col("n_words") == 0, F.lit("junk")).otherwise(F.col("kind")))

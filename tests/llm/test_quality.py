@@ -17,6 +17,24 @@ def test_statistics_of_known_texts():
     assert quality.measure(None) == quality.measure("  \n ") == (0, *[0.0] * 12)
 
 
+def test_mean_word_length_counts_words_alone():
+    assert quality.measure("a b c")[1] == 1 and quality.measure("가나  다\n\n라마바 ")[1] == 2
+
+
+def test_a_wrapped_sentence_is_prose_from_its_first_line():
+    share = lambda t: dict(zip(quality.STATISTICS, quality.measure(t)))["prose_share"]
+    assert share("Patients on dialysis showed levels about 19.4\npercent and it was kept for the trial.") == 1
+    assert share("one two\nthree four\nThis is the end of it.") < 1
+
+
+def test_the_fit_ends_when_it_converges(spark):
+    x, groups, kinds = quality.example_features(spark)
+    rows = [(row.tolist(),) for row in x for _ in range(5)]
+    featured = spark.createDataFrame(rows, "x array<double>")
+    short, long = quality.fit_mixture(featured, x, groups, kinds, rounds=60), quality.fit_mixture(featured, x, groups, kinds, rounds=120)
+    assert (short.means == long.means).all() and set(short.kinds) == set(quality.KINDS)
+
+
 DECIMAL = "The average latency of the model dropped to 9.11 seconds"
 IN_TURN = "The bag was left near the door. The front of it had been opened again.\n"
 
