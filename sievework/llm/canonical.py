@@ -1,8 +1,8 @@
 """Freely typed values mapped to the entries of a reference list.
 
 The distinct tokens of all values join the tokens of the reference names over shared
-deletion neighbours, which finds every pair at most one edit apart by equality
-joins alone. The corrected tokens are then combined with weights by rarity (soft
+deletion neighbours, which finds every pair at most one edit apart, two in long
+names, by equality joins alone. The corrected tokens are then combined with weights by rarity (soft
 TF-IDF), and the best complete entry is taken, or none.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from sievework.llm.lookalike import look
-from sievework.operators.skew import salted_left_join, union_all
+from sievework.operators.skew import salted_left_join, small_side, union_all
 from sievework.session import materialize
 
 #: Least share of a name, weighted by rarity, that the corrected tokens must make up.
@@ -27,6 +27,9 @@ MIN_NAME_COVER = 0.6
 # Endings written directly after a name that say nothing of it.
 ENDINGS = ("임", "됨", "빛", "색상", "정제", "정", "알약", "형태", "모양", "추정", "계열", "코팅", "처리", "표시", "톤", "ish", "shaped", "shape", "colored", "coloured")
 
+#: Names of at least so many characters may be typed with two edits.
+LONG_NAME = 8
+
 WORD = re.compile(r"[^\W_]+")
 HANGUL_BASE, HANGUL_LAST = 0xAC00, 0xD7A3
 
@@ -62,45 +65,62 @@ def letter_loss(a: str, b: str) -> float:
     return 1.0
 
 
+def edits_allowed(name: str) -> int:
+    """How many edits a name's token may be typed with."""
+    return 2 if len(name) >= LONG_NAME else 1
+
+
 def likeness(typed: str, name: str) -> float:
-    """Likeness of two tokens at most one edit apart, from 0 (more edits) to 1 (equal).
+    """Likeness of a typed token to a name's, from 0 (more edits than ``edits_allowed``) to 1 (equal).
 
     Edits: one character added, missing or changed, or two neighbours swapped; of
-    a Hangul syllable only one part may change. A doubled letter costs a little
-    less than any other added one.
+    a Hangul syllable changing one part costs 0.4, changing more than one two edits. A doubled letter costs a little
+    less than any other added one, and so do a missing one and a swap.
     """
     if typed == name:
         return 1.0
     n, m = len(typed), len(name)
-    if abs(n - m) > 1:
+    most = edits_allowed(name)
+    if abs(n - m) > most:
         return 0.0
-    i = 0
-    while i < min(n, m) and typed[i] == name[i]:
-        i += 1
-    if n == m:
-        if typed[i + 1 :] == name[i + 1 :]:
-            loss = letter_loss(typed[i], name[i])
-        elif typed[i : i + 2] == name[i : i + 2][::-1] and typed[i + 2 :] == name[i + 2 :]:
-            loss = 0.9
-        else:
-            return 0.0
-    elif n > m and typed[i + 1 :] == name[i:]:
-        loss = 0.8 if i and typed[i] == typed[i - 1] else 1.0
-    elif m > n and typed[i:] == name[i + 1 :]:
-        loss = 0.95
-    else:
-        return 0.0
-    return max(0.0, 1.0 - loss / max(n, m)) if loss <= 1 else 0.0
+    # fewest edits, and their loss, that turn the first i of typed into the first j of name, two rows back
+    plus = lambda x, edits, loss: (x[0] + edits, x[1] + loss)
+    older: list[tuple[int, float]] = []
+    before = [(j, 0.95 * j) for j in range(m + 1)]
+    for i in range(1, n + 1):
+        a, extra = typed[i - 1], 0.8 if i > 1 and typed[i - 1] == typed[i - 2] else 1.0
+        now = [plus(before[0], 1, extra)]
+        for j in range(1, m + 1):
+            b = name[j - 1]
+            changed = 0.0 if a == b else letter_loss(a, b)
+            best = min(plus(before[j - 1], -int(-changed // 1), changed), plus(before[j], 1, extra), plus(now[j - 1], 1, 0.95))
+            if i > 1 and j > 1 and a == name[j - 2] and typed[i - 2] == b and a != b:
+                best = min(best, plus(older[j - 2], 1, 0.9))
+            now.append(best)
+        older, before = before, now
+    edits, loss = before[m]
+    return max(0.0, 1.0 - loss / max(n, m)) if edits <= most else 0.0
+
+
+def neighbours(token: str, least: int = LONG_NAME) -> list[str]:
+    """The token and every token with one character less, or up to two of a token of at least ``least`` characters.
+
+    A single letter has no shorter neighbour unless it is a Hangul syllable, of which one part may be mistyped.
+    """
+    once = {token[:i] + token[i + 1 :] for i in range(len(token))} if len(token) > 1 or jamo(token or "a") else set()
+    twice = {x[:i] + x[i + 1 :] for x in once for i in range(len(x))} if len(token) >= least else set()
+    return sorted({token} | once | twice)
 
 
-def neighbours(token: str) -> list[str]:
-    """The token and every token with one character less."""
-    return sorted({token, *(token[:i] + token[i + 1 :] for i in range(len(token)))})
+@F.arrow_udf(ArrayType(StringType()))
+def name_neighbours(tokens: pa.Array) -> pa.Array:
+    return pa.array([neighbours(t) if t is not None else None for t in tokens.to_pylist()], pa.list_(pa.string()))
 
 
 @F.arrow_udf(ArrayType(StringType()))
-def neighbours_udf(tokens: pa.Array) -> pa.Array:
-    return pa.array([neighbours(t) if t is not None else None for t in tokens.to_pylist()], pa.list_(pa.string()))
+def typed_neighbours(tokens: pa.Array) -> pa.Array:
+    # a long name may lack two characters as typed
+    return pa.array([neighbours(t, LONG_NAME - 2) if t is not None else None for t in tokens.to_pylist()], pa.list_(pa.string()))
 
 
 @F.arrow_udf(DoubleType())
@@ -155,7 +175,7 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     )
     counted = materialize(counted)  # the distinct values, read by each of the steps below
     typed = materialize(counted.join(labels, ["field", "value"], "left_anti").withColumn("words", words_udf("value")))
-    names = reference_names(reference)
+    names = materialize(reference_names(reference))
     # a name counts as its words and, written together, as one token
     whole = names.withColumn("token", F.array_join("tokens", ""))
     name_tokens = names.select("field", "value_id", "name", F.explode(F.array_distinct("tokens")).alias("token"))
@@ -166,11 +186,13 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     )
     weighed = name_tokens.join(rarity, ["field", "token"])
     weighed = weighed.withColumn("weight", F.col("idf") / F.sum("idf").over(Window.partitionBy("field", "value_id", "name")))
-    parts = union_all(
-        [
-            weighed.select("field", "value_id", "name", "token", "weight"),
-            whole.filter(F.size("tokens") > 1).select("field", "value_id", "name", "token", F.lit(1.0).alias("weight")),
-        ]
+    parts = materialize(
+        union_all(
+            [
+                weighed.select("field", "value_id", "name", "token", "weight"),
+                whole.filter(F.size("tokens") > 1).select("field", "value_id", "name", "token", F.lit(1.0).alias("weight")),
+            ]
+        )
     )
     longest = (parts.agg(F.max(F.length("token"))).first()[0] or 0) + 3
 
@@ -190,12 +212,14 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     spelled = typed.select("field", "value", "words").mapInArrow(
         spell, "field string, value string, n_words int, typed string, first int, last int"
     )
-    near_typed = spelled.select("field", "typed").distinct().withColumn("near", F.explode(neighbours_udf("typed")))
-    near_names = parts.select("field", "token").distinct().withColumn("near", F.explode(neighbours_udf("token")))
-    pairs = near_typed.join(near_names, ["field", "near"]).select("field", "typed", "token").distinct()
+    spelled = materialize(spelled)
+    near_typed = spelled.select("field", "typed").distinct().withColumn("near", F.explode(typed_neighbours("typed")))
+    near_names = parts.select("field", "token").distinct().withColumn("near", F.explode(name_neighbours("token")))
+    pairs = near_typed.join(small_side(near_names), ["field", "near"]).select("field", "typed", "token").distinct()
     repaired = pairs.withColumn("sim", likeness_udf("typed", "token")).filter(F.col("sim") > 0)
-    # each candidate of each value with each name token it may mean
-    hits = materialize(spelled.join(repaired, ["field", "typed"]).join(parts, ["field", "token"]))
+    # each candidate of each value with each name token it may mean; a word of very many values is spread over tasks
+    means = materialize(repaired.join(small_side(parts), ["field", "token"]))
+    hits = materialize(salted_left_join(spelled, means, ["field", "typed"]).filter(F.col("token").isNotNull()))
 
     # how much of each name is there: words together or the name in one
     per_token = hits.groupBy("field", "value", "value_id", "name", "token").agg(F.max("sim").alias("sim"), F.first("weight").alias("weight"))
@@ -208,7 +232,7 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     word_rows = typed.select("field", "value", F.posexplode("words").alias("place", "word"))
     n_values = typed.groupBy("field").agg(F.count("*").alias("n"))
     word_idf = word_rows.groupBy("field", "word").agg(F.countDistinct("value").alias("df")).join(n_values, "field")
-    word_weight = word_rows.join(word_idf.select("field", "word", F.log1p(F.col("n") / F.col("df")).alias("idf")), ["field", "word"])
+    word_weight = salted_left_join(word_rows, word_idf.select("field", "word", F.log1p(F.col("n") / F.col("df")).alias("idf")), ["field", "word"])
     total = word_weight.groupBy("field", "value").agg(F.sum("idf").alias("total"))
     explained = hits.select("field", "value", "value_id", "sim", F.explode(F.sequence("first", "last")).alias("place")).groupBy(
         "field", "value", "value_id", "place"

@@ -1,4 +1,8 @@
+import random
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from sievework.llm import canonical
 
@@ -50,3 +54,49 @@ def test_very_long_value(spark, reference):
 def test_long_ending_does_not_count():
     assert canonical.candidates(["transparentcoloured"], 16) == {("transparent", 0, 0)}
     assert canonical.candidates(["x" * 17 + "coloured"], 16) == set()
+
+
+def test_likeness_of_known_pairs():
+    like = canonical.likeness
+    assert like("circle", "circle") == 1 and like("cirlce", "circle") == pytest.approx(1 - 0.9 / 6) and like("circcle", "circle") == pytest.approx(1 - 0.8 / 7)
+    assert like("", "abc") == 0 == like("abc", "") and like("crcel", "circle") == 0  # two edits in a short name
+    assert like("transprent", "transparent") > like("trensprent", "transparent") > 0 == like("trenspront", "transparent")
+    assert like("흰섹", "흰색") == pytest.approx(1 - 0.4 / 2) and like("힌섹", "흰색") == 0 and like("흰별", "흰색") == 0
+    assert like("a", "b") == 0 and not set(canonical.neighbours("a")) & set(canonical.neighbours("b"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcd", min_size=1, max_size=11), st.text(alphabet="abcd", min_size=1, max_size=11))
+def test_deletion_neighbours_reach_every_pair_within_the_edits(typed, name):
+    if canonical.likeness(typed, name) > 0:
+        assert set(canonical.neighbours(typed, canonical.LONG_NAME - 2)) & set(canonical.neighbours(name))
+
+
+def test_planted_edits_are_found(spark):
+    """Recall on planted typing errors: every one with one edit, and with two in long names, comes back to its entry."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = ["".join(rng.choices(letters, k=k)) for k in (5, 6, 7, 8, 9, 10, 12, 14) for _ in range(6)]
+    reference = spark.createDataFrame([(i + 1, "f", name, None, None) for i, name in enumerate(names)], "value_id int, field string, label string, label_en string, aliases array<string>")
+
+    def edit(word):
+        i, kind = rng.randrange(len(word) - 1), rng.randrange(4)
+        new = rng.choice(letters)
+        return (word[:i] + new + word[i:], word[:i] + word[i + 1 :], word[:i] + new + word[i + 1 :], word[:i] + word[i + 1] + word[i] + word[i + 2 :])[kind]
+
+    planted = {}
+    for i, name in enumerate(names):
+        for _ in range(6):
+            typed = edit(name) if len(name) < canonical.LONG_NAME else edit(edit(name))
+            if canonical.likeness(typed, name) > 0 and typed != name:  # two swaps of one place may be more than two edits
+                planted[typed] = i + 1
+    assert len(planted) > 200
+    got = {r.value: r.value_id for r in canonical.map_values(spark.createDataFrame([("f", v) for v in planted], "field string, value string"), reference).collect()}
+    best = {v: max(range(len(names)), key=lambda i: canonical.likeness(v, names[i])) + 1 for v in planted}  # brute force over all names
+    assert got == best and sum(got[v] == i for v, i in planted.items()) / len(planted) >= 0.99
+
+
+def test_one_hot_word(spark, reference):
+    rows = [("shape", f"tablet round no{'x' * (i % 7)}{i}") for i in range(300)]
+    got = canonical.map_values(spark.createDataFrame(rows, "field string, value string"), reference).collect()
+    assert len(got) == 300 and {r.value_id for r in got} == {1}
