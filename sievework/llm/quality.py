@@ -88,12 +88,12 @@ def measure(text: str | None) -> tuple[float, ...]:
         lines += 1
         words += w
         chars += n
-        letters += sum(map(len, parts))
+        letters += len("".join(parts))
         stop = parts[-1].rstrip(CLOSERS).endswith(STOPS)
         stops += stop
         is_prose = (common >= 2 and common * 8 >= w) or (common > 0 and common * 5 >= w)
         wrapped, runs_on = runs_on, is_prose and not stop
-        plain = not LIST_LINE.match(line) and not COLUMN_GAP.search(line)
+        plain = not is_prose and not LIST_LINE.match(line) and not COLUMN_GAP.search(line)
         if is_prose or (wrapped and plain):
             prose += n + waiting
             waiting = 0
