@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
 from sievework.functions import values as V
 from sievework.operators.scoring import with_truth
-from sievework.operators.skew import settled
+from sievework.operators.skew import settled, small_side
+from sievework.session import materialize
 
 #: The similarity from which a name is partly right here, and the confidence that counts as sure.
 PARTIAL_SIMILARITY = 0.82
@@ -134,11 +138,30 @@ def cases(results: DataFrame, truths: DataFrame, database: DataFrame | None = No
     )
 
 
-def batches(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Scores per batch: means of the components, each rounded to a tenth, and their sum; null unless every case is ready."""
-    per = rows.groupBy(*keys).agg(F.count("*").alias("n_cases"), F.bool_and("ready").alias("ready"), *[F.avg(c).alias(c) for c in ("accuracy", "evidence", "hallucination", "clarity")])
-    tenths = [F.when(F.col("ready"), V.half_up(F.col(c))).alias(c) for c in ("accuracy", "evidence", "hallucination", "clarity")]
-    done = per.select(*keys, "n_cases", "ready", *tenths)
+COMPONENTS = ("accuracy", "evidence", "hallucination", "clarity")
+#: Cases of a batch up to which they are added one by one in their order.
+ORDERED_CASES = 100
+
+
+def batches(rows: DataFrame, keys: list[str], order: str = "result_id") -> DataFrame:
+    """Scores per batch: means of the components, each rounded half up to a tenth, and their sum; null unless every case is ready.
+
+    Floating sums of tenths depend on the order of addition, and so does what is rounded half up. So a batch
+    of at most ``ORDERED_CASES`` cases is added in the order of ``order``; a larger one,
+    which no task could hold in order, in whole tenths, exactly. Null keys are a batch as others.
+    """
+    rows = materialize(rows.select(*keys, F.col(order).alias("_order"), "ready", *COMPONENTS))
+    exact = [F.sum(F.round(F.col(c) * 10).cast("bigint")).alias(f"_{c}") for c in COMPONENTS]
+    per = rows.groupBy(*keys).agg(F.count("*").alias("n_cases"), F.bool_and("ready").alias("ready"), *exact)
+    whole = [F.floor((2 * F.col(f"_{c}") + F.col("n_cases")) / (2 * F.col("n_cases"))) / 10 for c in COMPONENTS]
+    large = per.filter(F.col("n_cases") > ORDERED_CASES).select(*keys, "n_cases", "ready", *[F.when(F.col("ready"), w).alias(c) for w, c in zip(whole, COMPONENTS)])
+    theirs = small_side(large.select(*[F.col(k).alias(f"_{k}") for k in keys]))
+    small = rows.join(theirs, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left_anti")
+    cases = F.array_sort(F.collect_list(F.struct("_order", *COMPONENTS)))
+    mean = lambda c: F.aggregate("_cases", F.lit(0.0), lambda total, x: total + F.coalesce(x[c], F.lit(0.0))) / F.col("n_cases")
+    folded = small.groupBy(*keys).agg(F.count("*").alias("n_cases"), F.bool_and("ready").alias("ready"), cases.alias("_cases"))
+    folded = folded.select(*keys, "n_cases", "ready", *[F.when(F.col("ready"), V.half_up(mean(c))).alias(c) for c in COMPONENTS])
+    done = folded.unionByName(large)
     return done.withColumn("total", V.half_up(F.col("accuracy") + F.col("evidence") + F.col("hallucination") + F.col("clarity")))
 
 

@@ -121,3 +121,20 @@ def test_confidence_and_overlap(spark):
     assert [r[0] for r in df.select(V.contract_confidence("c")).collect()] == [None, 0.5, 50.0, None, None, None]
     assert [r[0] for r in df.select(V.clamped_confidence("c")).collect()] == [None, 0.5, 50.0, 100.0, 0.0, None]
     assert spark.range(1).select(V.percent(F.lit(1), F.lit(0))).first()[0] is None
+
+
+def test_large_batches_are_exact_and_small_ones_in_order(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, "big" if i % 3 else None, i % 20 != 0 or i % 3 > 0, 40.0, rng.randrange(250) / 10, 20.0, rng.randrange(150) / 10) for i in range(600)]
+    rows += [(1000 + i, "small", True, 40.0, x, 20.0, 13.0) for i, x in enumerate((9.0, 14.1, 2.4, 8.7, 14.4))] + [(2000, "one", False, None, None, None, None)]
+    df = spark.createDataFrame(rows, "result_id bigint, run string, ready boolean, accuracy double, evidence double, hallucination double, clarity double")
+    got = {r.run: r for r in rubric.batches(df, ["run"]).collect()}
+    tenths = sum(round(r[4] * 10) for r in rows if r[1] == "big")
+    assert len(got) == 4 and got["big"].n_cases == 400 and got["big"].evidence == (2 * tenths + 400) // 800 / 10
+    total = 0.0
+    for x in (9.0, 14.1, 2.4, 8.7, 14.4):
+        total += x
+    assert got["small"].evidence == int((total / 5 + 2.220446049250313e-16) * 10 + 0.5) / 10 and got["small"].total == 40 + got["small"].evidence + 33
+    assert got["one"].total is None and got[None].ready is False and got[None].evidence is None and rubric.batches(df.limit(0), ["run"]).count() == 0
