@@ -163,21 +163,37 @@ def column_name(header: str) -> str:
     return re.sub(r"[\s\-_]+", "_", header.strip().lower())
 
 
-def read_header(raw: str | None) -> tuple[str, int, list[int]] | None:
-    """Delimiter, number of fields and place of each sheet column (-1: missing) in a header record.
+Header = tuple[str, int, list[int], str | None, int]
+
+
+def read_headers(raws: Sequence[str | None]) -> list[Header | None]:
+    """Of each header record: delimiter, number of fields, place of each sheet column (-1: missing), error and its offset; null of a null one.
 
     The delimiter is the candidate that occurs most often outside quotes, the
-    first listed on a tie.
+    first listed on a tie. All headers are tokenized together, under each candidate.
     """
-    if raw is None:
-        return None
-    text = without_file_marks(raw)
-    tokens = tokenize([text] * len(DELIMITERS), DELIMITERS)
-    best = int(np.argmax(tokens.fields))
-    if tokens.error[best]:
-        return None
-    names = [column_name(x) for x in record_fields(text, tokens, best)]
-    return DELIMITERS[best], len(names), [names.index(c) if c in names else -1 for c in SHEET_COLUMNS]
+    texts = [without_file_marks(r or "") for r in raws]
+    out: list[Header | None] = [None] * len(raws)
+    for some in passes(texts):
+        given = texts[some.start : some.stop]
+        tokens = tokenize(given * len(DELIMITERS), [d for d in DELIMITERS for _ in given])
+        counts = tokens.fields.reshape(len(DELIMITERS), -1)
+        for i, best in enumerate(counts.argmax(axis=0)):
+            if raws[some.start + i] is None:
+                continue
+            k = int(best) * len(given) + i
+            error, names = tokens.error[k], []
+            if error is None:
+                names = [column_name(x) for x in record_fields(given[i], tokens, k)]
+            places = [names.index(c) if c in names else -1 for c in SHEET_COLUMNS]
+            out[some.start + i] = (DELIMITERS[best], len(names), places, error, int(tokens.offset[k]))
+    return out
+
+
+def read_header(raw: str | None) -> tuple[str, int, list[int]] | None:
+    """Delimiter, number of fields and places of one header record; null if it is not usable."""
+    header = read_headers([raw])[0]
+    return header[:3] if header and header[3] is None else None
 
 
 def reject_reason(case_id: str, front: str, back: str) -> str | None:
@@ -202,7 +218,7 @@ def sheet_headers(records: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(s, h) for s, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (h := read_header(r))]
+            rows = [(s, h) for s, h in zip(b.column(0).to_pylist(), read_headers(b.column(1).to_pylist())) if h and h[3] is None]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([s for s, _ in rows], pa.string()),
@@ -237,8 +253,27 @@ def _typed_readable(value: str | None) -> bool | None:
     return None
 
 
+def rejected_headers(records: DataFrame) -> DataFrame:
+    """The header records (``rec_no`` 1) that are null or break the quoting rule, as ``load_records`` gives rejected rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rec_ids, sheets, numbers, raws = (c.to_pylist() for c in b.columns)
+            found = [
+                (i, s, n, "null_record" if h is None else h[3], -1 if h is None else h[4], r)
+                for i, s, n, r, h in zip(rec_ids, sheets, numbers, raws, read_headers(raws))
+                if h is None or h[3]
+            ]
+            columns = list(zip(*found)) or [[]] * 6
+            types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["rec_id", "sheet_id", "rec_no", "reason", "error_offset", "raw"])
+
+    headers = records.filter(F.col("rec_no") == 1).select(F.col("rec_id").cast("bigint"), F.col("sheet_id").cast("string"), F.col("rec_no").cast("int"), F.col("raw").cast("string"))
+    return headers.mapInArrow(run, "rec_id bigint, sheet_id string, rec_no int, reason string, error_offset int, raw string")
+
+
 def load_records(records: DataFrame) -> DataFrame:
-    """Every data record (``rec_no`` other than 1), loaded or with the reason why not.
+    """Every data record (``rec_no`` other than 1), loaded or with the reason why not, and every header record that is broken.
 
     Valid rows have a null ``reason``, the 19 columns and ``expected_readable`` also
     as boolean ``readable``. Rejected rows keep ``raw``, a ``reason`` of ``ERRORS``
@@ -286,7 +321,8 @@ def load_records(records: DataFrame) -> DataFrame:
             for r in passes([x or "" for x in columns[3]]):
                 yield part(*[c[r.start : r.stop] for c in columns])
 
-    return joined.select("rec_id", "sheet_id", "rec_no", "raw", "delimiter", "n_columns", "places").mapInArrow(run, LOADED_SCHEMA)
+    loaded = joined.select("rec_id", "sheet_id", "rec_no", "raw", "delimiter", "n_columns", "places").mapInArrow(run, LOADED_SCHEMA)
+    return loaded.unionByName(rejected_headers(records).withColumn("n_fields", F.lit(0)), allowMissingColumns=True)
 
 
 def reject_report(loaded: DataFrame) -> DataFrame:

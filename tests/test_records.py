@@ -90,3 +90,22 @@ def test_very_long_record(spark):
     long = row(rest="x" * 300_000)
     df = spark.createDataFrame([(1, "s", 1, HEADER), (2, "s", 2, long), (3, "s", 2, long)], "rec_id bigint, sheet_id string, rec_no int, raw string")
     assert [len(r.notes) for r in R.load_records(df).collect()] == [300_000, 300_000]
+
+
+def test_broken_headers_are_rejected_too(spark):
+    head = ",".join(R.SHEET_COLUMNS)
+    row = "KC-1,p,a.jpg,b.jpg" + "," * 15
+    rows = [(1, "s", 1, head), (2, "s", 2, row), (3, "t", 1, head.replace("case_id", 'case"id')), (4, "t", 2, row), (5, "u", 1, None), (6, "u", 2, row), (7, "s", 1, '"' + head), (8, "s", None, row)]
+    df = spark.createDataFrame(rows, "rec_id bigint, sheet_id string, rec_no int, raw string")
+    got = {r.rec_id: (r.reason, r.error_offset) for r in R.load_records(df).collect()}
+    assert got == {
+        2: (None, -1), 3: ("quote_in_plain_field", 4), 4: ("no_header", -1), 5: ("null_record", -1), 6: ("no_header", -1), 7: ("quote_not_closed", len(head) + 1), 8: (None, -1),
+    }
+
+
+def test_headers_together_equal_one_by_one():
+    raws = ["a,b,c", "a;b;c\r", "a\tb", '"a,b";c', None, "", "\ufeffcase_id;Front Image", 'a"b,c', "x" * 300 + ",case-id"]
+    for raw, got in zip(raws, R.read_headers(raws)):
+        alone = R.read_headers([raw])[0]
+        assert got == alone
+    assert R.read_header("\ufeffcase_id;Front Image")[:2] == (";", 2) and R.read_header('a"b,c') is None
