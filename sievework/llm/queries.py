@@ -71,15 +71,19 @@ def _containers(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "container_size").select("container", F.col("capacity_tokens").alias("capacity"))
 
 
+#: Sources whose texts never share a container: a report must not stand beside the evidence that it evaluates.
+CONFLICTING_SOURCES = (("eval_report", "model_evidence"),)
+
+
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     items = _sized(spark, folder, F.col("source"), F.xxhash64("text").alias("text_key"))
     again = items.groupBy("text_key").agg(F.count("*").alias("n")).filter("n > 1").select("text_key", F.lit(True).alias("again"))
     clustered = items.join(again, "text_key", "left").withColumn("cluster", F.when(F.col("again"), F.col("text_key")))
-    return packing.pack(clustered.select("item", "size", "source", "cluster"), _containers(spark, folder))
+    return packing.pack(clustered.select("item", "size", "source", "cluster"), _containers(spark, folder), CONFLICTING_SOURCES)
 
 
 def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
-    """The bin of every text or piece, for each container."""
+    """The bin of every text or piece, for each container; neither copies of a text nor sources in conflict share one."""
     return _packed(spark, folder).withColumnsRenamed({"item": "doc_id", "size": "tokens"})
 
 
