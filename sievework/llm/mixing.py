@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from sievework.operators.skew import small_side
 from sievework.session import materialize
 
-#: Strata of a source: a size class (four to a doubling) times so many hash classes.
+#: Strata of a source: a size class (four to a doubling) times so many hash classes, or more in a
+#: large source, so that a stratum has about ``STRATUM_TEXTS`` texts at most whatever the source's size.
 HASH_CLASSES = 64
+STRATUM_TEXTS = 20_000
 
 
 def one_per_text(items: DataFrame) -> DataFrame:
@@ -64,18 +66,20 @@ def use_counts(items: DataFrame, targets: DataFrame, seed: int = 11) -> DataFram
     in_mix = items.join(small_side(mixed), "source", "left_semi")
     marked = one_per_text(in_mix)
     marked = materialize(marked)
-    plans = materialize(plan(marked, targets).select("source", "copies"))
+    texts = marked.filter(F.col("counts") & (F.col("size") > 0)).groupBy("source").agg(F.count("*").alias("n_texts"))
+    classes = F.greatest(F.lit(HASH_CLASSES), F.ceil(F.col("n_texts") / STRATUM_TEXTS)).cast("int").alias("classes")
+    plans = materialize(plan(marked, targets).join(texts, "source").select("source", "copies", classes))
     size_class = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 4)).otherwise(-1).cast("int")
     used = (
-        marked.filter(F.col("counts") & (F.col("size") > 0))
-        .select("row", "item", "source", size_class.alias("size_class"), F.pmod(F.xxhash64(F.lit(seed), "item"), F.lit(HASH_CLASSES)).cast("int").alias("hash_class"))
+        marked.filter(F.col("counts") & (F.col("size") > 0)).join(small_side(plans), "source")
+        .select("row", "item", "source", "copies", size_class.alias("size_class"), F.pmod(F.xxhash64(F.lit(seed), "item"), F.col("classes")).cast("int").alias("hash_class"))
     )
     stratum = ["source", "size_class", "hash_class"]
     before = Window.partitionBy("source").orderBy("size_class", "hash_class").rowsBetween(Window.unboundedPreceding, -1)
-    # at most HASH_CLASSES rows per source and size class
+    # as many rows per source and size class as it has hash classes
     bases = used.groupBy(*stratum).agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     ranked = used.withColumn("rank", F.row_number().over(Window.partitionBy(*stratum).orderBy(F.xxhash64(F.lit(seed), "item"), "item", "row")))
-    summed = ranked.join(small_side(plans), "source").join(bases, stratum)
+    summed = ranked.join(bases, stratum)
     upto = F.col("base") + F.col("rank")
     counted = summed.select(
         "row",
