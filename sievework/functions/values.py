@@ -131,20 +131,140 @@ def variant_name(explicit: Column | str | None, conditions: dict[str, Column | s
     return out.otherwise("original")
 
 
+# Classes of a provider's errors, in order: the class, the HTTP statuses that make it by themselves,
+# a status with the words it needs beside it, and the words that make it alone.
+ERROR_CLASSES = (
+    ("authentication", (401, 403), None, r"auth|unauthor|forbidden|api.?key|permission"),
+    ("quota", (), (429, r"quota|billing|credit|insufficient"), r"quota|billing|credit|insufficient_quota"),
+    ("rate_limit", (429,), None, r"rate.?limit|too many requests"),
+    ("invalid_model", (), None, r"model.*(?:not found|invalid|unsupported|not allowed|access)|invalid_model"),
+    ("timeout", (), None, r"timeout|timed out|aborterror"),
+    ("invalid_request", (400, 404, 413, 422), None, r"invalid.?request|bad.?request"),
+)
+
+
 def error_class(message: Column | str, status: Column | None = None) -> Column:
-    """Class of a provider's error by its text and HTTP status; null without either."""
+    """Class of a provider's error by its text and HTTP status, the first of ``ERROR_CLASSES`` that fits, else upstream; null without either."""
     text, code = F.lower(trimmed(message)), F.coalesce(status, F.lit(0)) if status is not None else F.lit(0)
-    return (
-        F.when((text == "") & (code == 0), F.lit(None).cast("string"))
-        .when(code.isin(401, 403) | text.rlike("auth|unauthor|forbidden|api.?key|permission"), "authentication")
-        .when((code == 429) & text.rlike("quota|billing|credit|insufficient"), "quota")
-        .when(text.rlike("quota|billing|credit|insufficient_quota"), "quota")
-        .when((code == 429) | text.rlike("rate.?limit|too many requests"), "rate_limit")
-        .when(text.rlike("model.*(?:not found|invalid|unsupported|not allowed|access)|invalid_model"), "invalid_model")
-        .when(text.rlike("timeout|timed out|aborterror"), "timeout")
-        .when(code.isin(400, 404, 413, 422) | text.rlike("invalid.?request|bad.?request"), "invalid_request")
-        .otherwise("upstream")
+    out = F.when((text == "") & (code == 0), F.lit(None).cast("string"))
+    for name, statuses, with_words, words in ERROR_CLASSES:
+        fits = text.rlike(words)
+        fits = code.isin(*statuses) | fits if statuses else fits
+        out = out.when(((code == with_words[0]) & text.rlike(with_words[1])) | fits if with_words else fits, name)
+    return out.otherwise("upstream")
+
+
+# What a failed call is reported as, in order, with the words that say so.
+CALL_ERRORS = (
+    ("daily_limit", r"daily api limit|일일.*(?:한도|제한)"),
+    ("signed_out", r"(?<![0-9A-Za-z_])401(?![0-9A-Za-z_])|unauthori[sz]ed|access[_ -]?token|인증"),
+    ("refused", r"(?<![0-9A-Za-z_])403(?![0-9A-Za-z_])|forbidden"),
+    ("model", r"model.*(?:not found|does not exist|access|unsupported|not allowed)|unsupported.*model|invalid.*model"),
+    ("limit", r"(?<![0-9A-Za-z_])429(?![0-9A-Za-z_])|rate.?limit|quota|billing|insufficient_quota"),
+    ("connection", r"failed to fetch|network|load failed|cors"),
+    ("answer_format", r"json|cases 배열|응답 본문|unexpected end|empty response"),
+    ("server", r"(?<![0-9A-Za-z_])5[0-9][0-9](?![0-9A-Za-z_])|internal server|bad gateway|service unavailable"),
+)
+#: What a reader is told of each.
+CALL_ERROR_TEXTS = {
+    "daily_limit": "The calls of the day are used up; they start anew at midnight in Seoul.", "signed_out": "The session has ended; sign in again.", "refused": "Access was refused.",
+    "model": "The account may not use this model.", "limit": "The provider's limit is reached.", "connection": "No connection.", "answer_format": "The model's answer has the wrong form.",
+    "server": "The provider's server failed for now.", "other": "The call failed", "unknown": "The call failed for no stated reason.",
+}
+
+
+def call_error(message: Column | str) -> Column:
+    """Kind of a failed call by its message: the first of ``CALL_ERRORS`` that fits, other for any other text, unknown without one."""
+    text = trimmed(message)
+    out = F.when(text == "", "unknown")
+    for kind, words in CALL_ERRORS:
+        out = out.when(text.rlike(f"(?i){words}"), kind)
+    return out.otherwise("other")
+
+
+def call_error_text(message: Column | str) -> Column:
+    """A failed call for readers; of another error the first 180 characters of its message."""
+    kind = call_error(message)
+    told = F.element_at(F.create_map(*[F.lit(x) for pair in CALL_ERROR_TEXTS.items() for x in pair]), kind)
+    return F.when(kind == "other", F.concat(told, F.lit(": "), F.substring(trimmed(message), 1, 180))).otherwise(told)
+
+
+def storage_error(name: Column | str, message: Column | str) -> Column:
+    """Why storing failed, by the error's name and message: quota, blocked or unknown."""
+    text = F.concat(safe(name), F.lit(" "), safe(message))
+    return F.when(text.rlike("(?i)quota|exceeded"), "quota").when(text.rlike("(?i)security|denied|access"), "blocked").otherwise("unknown")
+
+
+def error_text(x: Column | str) -> Column:
+    """Text of an error given as text or as a JSON object: its message, error or detail, else the object itself; null for nothing."""
+    raw = trimmed(x)
+    parts = [F.nullif(trimmed(F.get_json_object(raw, f"$.{k}")), F.lit("")) for k in ("message", "error", "detail")]
+    return F.when(raw == "", F.lit(None).cast("string")).when(raw.startswith("{"), F.coalesce(*parts, raw)).otherwise(raw)
+
+
+def epoch_ms(x: Column | str) -> Column:
+    """Milliseconds since 1970 of a time written as text, 0 where it is none; for ordering."""
+    return F.coalesce(F.unix_millis(F.try_to_timestamp(trimmed(x))), F.lit(0).cast("bigint"))
+
+
+def time_stamp(ts: Column | str) -> Column:
+    """A time as digits, for file names."""
+    return F.date_format(ts, "yyyyMMddHHmmss")
+
+
+# Characters taken for each other on a pill, by what they are read as.
+CONFUSED_MARKS = (("O", "0"), ("ILT", "1"), ("S", "5"), ("B", "8"))
+# Colours that pass for each other on photos.
+NEAR_COLORS = (("분홍", "주황"), ("하양", "회색"), ("노랑", "주황"))
+
+
+def mark_key(x: Column | str) -> Column:
+    """An imprint with characters that are taken for each other as one."""
+    letters, digits = "".join(a for a, _ in CONFUSED_MARKS), "".join(d * len(a) for a, d in CONFUSED_MARKS)
+    return F.translate(F.upper(safe(x)), letters, digits)
+
+
+def mark_within(mark: Column | str, seen: Column | str) -> Column:
+    """Whether a registered imprint is part of a read one: a beginning or end of two characters or more, any part of three or more."""
+    m, s = safe(mark), safe(seen)
+    return ((F.length(m) >= 2) & (s.startswith(m) | s.endswith(m))) | ((F.length(m) >= 3) & s.contains(m))
+
+
+def same_color(a: Column, b: Column) -> Column:
+    """Whether two values of colours joined by | share one."""
+    split = lambda x: F.filter(F.split(safe(x), r"\|"), lambda t: t != "")
+    return F.arrays_overlap(split(a), split(b))
+
+
+def near_color(a: Column, b: Column) -> Column:
+    """Whether two values of colours share one or have two that pass for each other on photos."""
+    has = lambda x, name: F.array_contains(F.split(safe(x), r"\|"), name)
+    near = F.lit(False)
+    for x, y in NEAR_COLORS:
+        near = near | (has(a, x) & has(b, y)) | (has(a, y) & has(b, x))
+    return same_color(a, b) | near
+
+
+def match_level(level: Column | str, confidence: Column, blur: Column, glare: Column, cropped: Column, conflict: Column) -> Column:
+    """A match's level: high becomes mid below 70 % confidence, above 0.6 blur or glare, on a cropped pill, or if shape or colour disagree."""
+    doubt = F.coalesce(confidence < 0.7, F.lit(False)) | F.coalesce(blur > 0.6, F.lit(False)) | F.coalesce(glare > 0.6, F.lit(False))
+    doubt = doubt | F.coalesce(cropped, F.lit(False)) | F.coalesce(conflict, F.lit(False))
+    return F.when((col(level) == "high") & doubt, "mid").otherwise(col(level))
+
+
+def rotated_box(b: Column, degrees: Column, width: Column, height: Column, out_width: Column, out_height: Column) -> Column:
+    """The upright box around ``b`` once its page is turned about its centre and laid on the centre of another page."""
+    angle = F.radians(degrees)
+    corners = F.array(*[F.struct(b[x].alias("x"), b[y].alias("y")) for x in ("x0", "x1") for y in ("y0", "y1")])
+    turned = F.transform(
+        corners,
+        lambda c: F.struct(
+            ((c["x"] - width / 2) * F.cos(angle) - (c["y"] - height / 2) * F.sin(angle) + out_width / 2).alias("x"),
+            ((c["x"] - width / 2) * F.sin(angle) + (c["y"] - height / 2) * F.cos(angle) + out_height / 2).alias("y"),
+        ),
     )
+    xs, ys = F.transform(turned, lambda c: c["x"]), F.transform(turned, lambda c: c["y"])
+    return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
 def retryable(kind: Column) -> Column:

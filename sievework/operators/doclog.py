@@ -69,3 +69,32 @@ def sentences(summary: dict) -> list[str]:
         f"{summary['docs']} documents were processed; text was read in {summary['ocr_success_rate']} %.",
         f"{summary['auto_rate']} % were redacted without a hand, {summary['touched_rate']} % with one, {summary['failed_rate']} % not at all.",
     ]
+
+
+def review_outcome(reviews: DataFrame, boxes: DataFrame) -> DataFrame:
+    """One raw log row per reviewed document: boxes that stayed from detection, boxes drawn by hand, detected ones that were erased, boxes by kind.
+
+    ``reviews``: ``doc_id, found_boxes`` (detected before the review) and any telemetry; ``boxes``: ``doc_id, kind, auto``, those left after it;
+    only ``auto`` false is by hand, and a box without kind is 기타.
+    """
+    kind = F.coalesce(F.nullif(safe("kind"), F.lit("")), F.lit("기타")).alias("kind")
+    by_hand = F.coalesce(F.col("auto"), F.lit(True)) == F.lit(False)
+    per_kind = boxes.select("doc_id", kind, by_hand.alias("by_hand")).groupBy("doc_id", "kind").agg(F.count("*").cast("int").alias("n"), F.count_if("by_hand").alias("manual"))
+    per = per_kind.groupBy("doc_id").agg(
+        F.sum("n").alias("_boxes"), F.sum("manual").alias("manual_boxes"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("box_kinds")
+    )
+    joined = reviews.join(per, "doc_id", "left").na.fill(0, ["_boxes", "manual_boxes"]).withColumn("auto_boxes", F.col("_boxes") - F.col("manual_boxes"))
+    erased = F.greatest(F.lit(0), (count_of("found_boxes") - F.col("auto_boxes")).cast("bigint"))
+    return joined.withColumn("erased_boxes", erased).withColumn("box_kinds", F.coalesce("box_kinds", F.create_map().cast("map<string,int>"))).drop("_boxes")
+
+
+#: Confidence in percent below which a read word counts as doubtful.
+LOW_CONFIDENCE = 60
+
+
+def ocr_quality(words: DataFrame, keys: list[str]) -> DataFrame:
+    """Words read, mean confidence from 0 to 1 and the share of doubtful words; null where no word has a confidence."""
+    score = V.finite("confidence")
+    return words.groupBy(*keys).agg(
+        F.count("*").alias("words"), F.round(F.avg(score) / 100, 6).alias("mean_confidence"), F.round(F.avg(F.when(score.isNotNull(), (score < LOW_CONFIDENCE).cast("int"))), 6).alias("low_confidence_share")
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -102,3 +104,31 @@ def fan_out(truths: DataFrame, models: list[tuple[str, str]]) -> DataFrame:
     """Every truth once per model of a short list, in its order."""
     pairs = F.array(*[F.struct(F.lit(p).alias("provider"), F.lit(m).alias("model"), F.lit(i).alias("model_no")) for i, (p, m) in enumerate(models)])
     return truths.withColumn("_m", F.explode(pairs)).select("*", "_m.*").drop("_m")
+
+
+#: Answers of the mock provider by scenario.
+MOCK_ANSWERS = {
+    "correct": {"drug_name": "시험정", "drug_code": "ITEM-0001", "front_imprint": "AB10", "back_imprint": "20", "shape": "타원형", "color": "하양", "confidence": 95, "evidence": "both imprints and the shape agree", "uncertainty": ""},
+    "partial": {"drug_name": "시험", "drug_code": "", "front_imprint": "AB1O", "back_imprint": "20", "shape": "타원형", "color": "하양", "confidence": 62, "evidence": "one imprint agrees", "uncertainty": "the name is not certain"},
+    "wrong": {"drug_name": "다른정", "drug_code": "ITEM-9999", "front_imprint": "ZZ", "back_imprint": "", "shape": "원형", "color": "노랑", "confidence": 81, "evidence": "a guess", "uncertainty": ""},
+}
+
+
+def mock(scenario: str = "correct", answers: dict[str, dict] | None = None, delay_s: float = 0.0, message: str = "mock failure") -> Callable[[pd.DataFrame], list[str]]:
+    """A provider that gives every input the answer of a scenario: correct, partial, wrong, slow (correct, after ``delay_s``) or error.
+
+    ``answers`` adds or replaces scenarios; one that is not known fails like ``error``.
+    """
+    known = MOCK_ANSWERS | (answers or {})
+
+    def respond(rows: pd.DataFrame) -> list[str]:
+        if scenario == "error":
+            raise RuntimeError(message)
+        if scenario == "slow":
+            time.sleep(delay_s)
+        name = "correct" if scenario == "slow" else scenario
+        if name not in known:
+            raise ValueError(f"unknown scenario {scenario!r}")
+        return [json.dumps(known[name], ensure_ascii=False)] * len(rows)
+
+    return respond

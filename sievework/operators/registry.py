@@ -62,6 +62,31 @@ def cumulative(fresh: DataFrame, previous: DataFrame) -> DataFrame:
     return fresh.withColumn("x", F.lit(None).cast("int")).unionByName(gone, allowMissingColumns=True)
 
 
+def substances(rows: DataFrame) -> DataFrame:
+    """The list of controlled substances: names trimmed, rows without any name or type left out, in their order."""
+    t = T.trimmed
+    named = rows.select(t("kr").alias("kr"), t("eng").alias("eng"), t("type").alias("type"), "ord")
+    return named.filter((F.col("type") != "") & ((F.col("kr") != "") | (F.col("eng") != "")))
+
+
+def refresh(delivered: DataFrame, previous: DataFrame, names: DataFrame, order: list[str], excluded: str | None = None, least: float = 0.9) -> DataFrame:
+    """The registry's next state: items once each, without those that have no imprint, tagged, with what is gone marked, by ``q``.
+
+    A delivery that lost more than the share allowed leaves ``previous`` as it is.
+    """
+    fresh = first_delivered(delivered, "q", order)
+    fresh = fresh.filter((T.registry_mark("pf") != "") | (T.registry_mark("pb") != ""))
+    counts = fresh.agg(F.count("*").alias("n")).crossJoin(previous.filter(F.col("x").isNull()).agg(F.count("*").alias("n_before"))).first()  # two numbers
+    if shrunk(counts["n"], counts["n_before"], least):
+        return previous.orderBy("q")
+    return cumulative(tag_by_longest_name(fresh, substances(names), excluded), previous).orderBy("q")
+
+
+def without_imprint(entries: DataFrame) -> DataFrame:
+    """How many entries have no imprint on either side and so are left out."""
+    return entries.agg(F.count("*").alias("entries"), F.count_if((T.registry_mark("pf") == "") & (T.registry_mark("pb") == "")).alias("without_imprint"))
+
+
 def shrunk(fresh: int, before: int, least: float = 0.9) -> bool:
     """Whether a refresh lost so much that the old state must be kept."""
     return before > 0 and fresh < before * least
@@ -124,3 +149,45 @@ def stratified(pool: DataFrame, total: int, shares: dict[str, float], color_shar
     order = Window.partitionBy("sh", "k1", "cl").orderBy("one_sided", "key")
     first = keyed.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= total).drop("_n")
     return first.groupBy(F.lit("all").alias("pool")).applyInPandas(run, "q string, place int")
+
+
+# The nested sample sets: how many cases each has, and from how many candidates they are taken.
+SAMPLE_SETS = ((20, 20), (120, 150), (240, 300))
+
+
+def usable(entries: DataFrame, url: str, needed: tuple[str, ...] = ("q", "n", "img")) -> DataFrame:
+    """Entries whose picture lies where ``url`` (a pattern) allows and whose needed fields are filled."""
+    filled = F.lit(True)
+    for c in needed:
+        filled = filled & (T.trimmed(c) != "")
+    return entries.filter(filled & T.safe("img").rlike(url))
+
+
+def named_items(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The entries of a list (``place, q``) in its order; ``found`` tells those the registry lacks; columns of the entries named ``place`` or ``found`` are dropped. A list is a sample set, a few hundred items."""
+    one = first_delivered(entries.drop("place", "found"), "q", ["q"])
+    return wanted.join(one.withColumn("found", F.lit(True)), "q", "left").withColumn("found", F.coalesce("found", F.lit(False))).orderBy("place")
+
+
+def sample_pack(candidates: DataFrame, target: int, prefix: str) -> DataFrame:
+    """The first ``target`` usable candidates (``place, q, usable, ...``) as numbered cases with the names of their images and a hash of each row.
+
+    Cases are numbered without holes whichever candidates drop out. Fewer than ``target`` usable ones are an
+    error of the query. Only ``target`` rows, a feature of the pack, reach the numbering.
+    """
+    first = candidates.filter("usable").orderBy("place").limit(target)
+    numbered = first.withColumn("case_no", F.row_number().over(Window.orderBy("place"))).withColumn("case_id", F.concat(F.lit(f"{prefix}-"), F.lpad(F.col("case_no").cast("string"), 3, "0")))
+    sides = [F.concat("case_id", F.lit(f"_{side}.jpg")).alias(f"{side}_image") for side in ("front", "back")]
+    there = F.count("*").over(Window.partitionBy(F.lit(1)))
+    enough = F.when(there < target, F.raise_error(F.lit(f"fewer than {target} usable candidates")).cast("string")).otherwise(F.col("case_id"))
+    row_hash = F.sha2(F.concat_ws("|", "case_id", "q", T.safe("n")), 256).alias("sha256")
+    return numbered.select(enough.alias("case_id"), *sides, "q", "n", row_hash)
+
+
+def nested_sets(pool: DataFrame, sizes: tuple[tuple[int, int], ...] = SAMPLE_SETS, prefix: str = "sample:") -> DataFrame:
+    """``target, place, q`` of the candidates of each set: the same order for all, so a smaller set lies within the larger ones."""
+    most = max(n for _, n in sizes)
+    first = pool.select("q", selection_key("q", prefix).alias("key"), (T.safe("pb") == "").alias("one_sided")).orderBy("one_sided", "key").limit(most)
+    placed = first.withColumn("place", F.row_number().over(Window.orderBy("one_sided", "key")))
+    sets = F.array(*[F.struct(F.lit(target).alias("target"), F.lit(n).alias("n")) for target, n in sizes])
+    return placed.withColumn("_s", F.explode(sets)).filter(F.col("place") <= F.col("_s.n")).select("_s.target", "place", "q")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
 from sievework.functions import values as V
+from sievework.operators.records import SHEET_COLUMNS
 from sievework.operators.skew import salted_left_join
 
 REQUIRED = ("case_id", "front_image", "back_image")
@@ -117,3 +118,45 @@ def result_errors(results: DataFrame, providers: list[str], key: str = "result_i
         number("latency_ms", "latency_ms"),
     ]
     return results.select(key, F.array_compact(F.array(*checks)).alias("errors"))
+
+
+# The modes of cost and of detail that an input may ask for.
+COST_MODES = ("practice", "research")
+DETAILS = ("low", "high", "auto")
+
+
+def input_errors(inputs: DataFrame, key: str, require_images: bool = True) -> DataFrame:
+    """``key, errors`` of research inputs against the contract: version, ids, both images, known options."""
+    image = lambda side: F.when(T.safe(F.col("images")[side]) == "", F.lit(f"images.{side}"))
+    known = lambda field, words: F.when(F.col("options").isNotNull() & ~F.coalesce(F.col("options")[field].isin(*words), F.lit(False)), F.lit(f"options.{field}"))
+    checks = [
+        F.when(T.safe("schema_version") != "1.0", F.lit("schema_version")), F.when(F.col("run_id").isNull(), F.lit("run_id")), F.when(T.trimmed("sample_id") == "", F.lit("sample_id")),
+        F.when(F.col("images").isNull(), F.lit("images")), *([F.when(F.col("images").isNotNull(), image(side)) for side in ("front", "back")] if require_images else []),
+        F.when(F.col("options").isNull(), F.lit("options")), known("cost_mode", COST_MODES), known("detail", DETAILS),
+    ]
+    return inputs.select(key, F.array_compact(F.array(*checks)).alias("errors"))
+
+
+def needs_confirmation(source_type: Column | str, asked: Column) -> Column:
+    """Whether a person must confirm a sheet before use: if it says so, or was read from a printed page."""
+    return F.coalesce(asked, F.lit(False)) | F.lower(T.trimmed(source_type)).isin("pdf", "pdf_ocr")
+
+
+def valid_rating(verdicts: Column, scores: Column, evidence: Column, hallucination: Column, clarity: Column) -> Column:
+    """Whether a rating is complete: a verdict for every case, any scores from 0 to 40, the three components in their ranges."""
+    said = F.forall(verdicts, lambda v: T.safe(v) != "")
+    in_range = F.forall(F.coalesce(scores, F.array().cast("array<double>")), lambda x: x.isNull() | F.coalesce(V.finite(x).between(0, 40), F.lit(False)))
+    parts = [F.coalesce(V.finite(x).between(0, most), F.lit(False)) for x, most in ((evidence, 25), (hallucination, 20), (clarity, 15))]
+    return F.coalesce(said & in_range, F.lit(False)) & parts[0] & parts[1] & parts[2]
+
+
+#: One filled row that shows how a sheet is meant, by column.
+TEMPLATE_ROW = (
+    "CASE-001", "PILL-001", "CASE-001_front.jpg", "CASE-001_back.jpg", "item number", "product name", "front", "back", "타원형", "하양", "", "음각", "있음", "TRUE",
+    "normal", "plain", "none", "front", "an example, delete it",
+)
+
+
+def template(spark: SparkSession) -> DataFrame:
+    """The columns of an answer sheet with one example row."""
+    return spark.createDataFrame([TEMPLATE_ROW], ", ".join(f"{c} string" for c in SHEET_COLUMNS))
