@@ -127,7 +127,7 @@ def registry_history(spark: SparkSession, folder: str) -> DataFrame:
     return registry.recovered(entries.select("q", "day"), current, "day").select("q", F.col("last_seen").cast("string").alias("last_seen"))
 
 
-def _listed_names(spark: SparkSession, folder: str) -> DataFrame:
+def listed_names(spark: SparkSession, folder: str) -> DataFrame:
     """Substances named in the registry, as a list with a type each."""
     inner = F.regexp_extract("n", r"\(([가-힣]{2,})", 1)
     names = table(spark, folder, "pill_registry").select(inner.alias("kr")).filter("kr <> ''").distinct()
@@ -138,7 +138,7 @@ def _listed_names(spark: SparkSession, folder: str) -> DataFrame:
 def registry_tags(spark: SparkSession, folder: str) -> DataFrame:
     """Items tagged by the longest listed name in theirs."""
     entries = table(spark, folder, "pill_registry").select("q", "n", "en").distinct()
-    return registry.tag_by_longest_name(entries, _listed_names(spark, folder), "아포모르핀|(?i)apomorphine").select("q", "nc").filter("nc is not null")
+    return registry.tag_by_longest_name(entries, listed_names(spark, folder), "아포모르핀|(?i)apomorphine").select("q", "nc").filter("nc is not null")
 
 
 def registry_efficacy(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,7 +157,7 @@ def registry_sample(spark: SparkSession, folder: str) -> DataFrame:
 KINDS = ("주민등록번호", "전화번호", "이메일", "개인식별번호", "성명")
 
 
-def _doc_boxes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def document_boxes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Labelled items and redaction boxes laid out by integer arithmetic on every document's id and length."""
     docs = table(spark, folder, "documents").select("doc_id", F.element_at(F.array(*[F.lit(c) for c in doclog.CONDITIONS]), (F.col("doc_id") % 8 + 1).cast("int")).alias("condition"), F.lit(1000).alias("width"), F.lit(1400).alias("height"), "n_chars")
     k = F.col("item_no")
@@ -176,7 +176,7 @@ def _doc_boxes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame,
 
 def doc_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Redaction scores per document."""
-    return redaction.score_documents(*_doc_boxes(spark, folder))
+    return redaction.score_documents(*document_boxes(spark, folder))
 
 
 def doc_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -186,7 +186,7 @@ def doc_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def doc_types(spark: SparkSession, folder: str) -> DataFrame:
     """Redaction recall per kind of item."""
-    _, items, boxes = _doc_boxes(spark, folder)
+    _, items, boxes = document_boxes(spark, folder)
     return redaction.by_type(redaction.score_items(items, boxes))
 
 
@@ -226,51 +226,33 @@ def pii_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return spread_table(spark, folder, "documents").select("doc_id", out.alias("t")).select("doc_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
 
 
-def _page_words(spark: SparkSession, folder: str, source: str | None = None) -> DataFrame:
-    """Words of all documents, or of one source's, placed on pages by their place in the text."""
-    docs = table(spark, folder, "documents")
-    words = (docs if source is None else docs.filter(F.col("source") == source)).select("doc_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("word_no", "text"))
+def page_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents, placed on pages by their place in the text."""
+    words = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("word_no", "text"))
     x0, y0 = (F.col("word_no") % 8 * 120).cast("double"), (F.floor(F.col("word_no") % 400 / 8) * 28 + F.col("word_no") % 3).cast("double")
     return words.select("doc_id", (F.col("word_no") / 400).cast("int").alias("page"), "word_no", "text", x0.alias("x0"), y0.alias("y0"), (x0 + 9 * F.length("text")).alias("x1"), (y0 + 20).alias("y1"))
 
 
 def page_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Rows and column parts of the pages' words."""
-    rows = layout.visual_rows(_page_words(spark, folder))
+    rows = layout.visual_rows(page_words(spark, folder))
     return layout.split_by_gap(rows, 60, [*layout.PAGE, "row_no"]).select("doc_id", "page", "word_no", "row_no", "part_no")
 
 
-def _column_parts(words: DataFrame) -> DataFrame:
-    words = words.withColumn("row_no", F.floor(F.col("word_no") % 400 / 8).cast("int"))
-    return layout.split_by_gap(words, 60, [*layout.PAGE, "row_no"]).select("doc_id", "page", "word_no", "row_no", "part_no")
-
-
 def column_parts(spark: SparkSession, folder: str) -> DataFrame:
-    """Column parts of the notes' words, with rows by their place; of the notes only, as its SQL."""
-    return _column_parts(_page_words(spark, folder, "sheet_note"))
-
-
-def column_parts_all(spark: SparkSession, folder: str) -> DataFrame:
     """Column parts of all documents' words, with rows by their place."""
-    return _column_parts(_page_words(spark, folder))
+    words = page_words(spark, folder).withColumn("row_no", F.floor(F.col("word_no") % 400 / 8).cast("int"))
+    return layout.split_by_gap(words, 60, [*layout.PAGE, "row_no"]).select("doc_id", "page", "word_no", "row_no", "part_no")
 
 
-def _nearest_columns(words: DataFrame) -> DataFrame:
+def nearest_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest of six header anchors of each word of all documents."""
+    words = page_words(spark, folder)
     cells = words.select("doc_id", "page", F.col("word_no").alias("cell_no"), ((F.col("x0") + F.col("x1")) / 2).alias("x"))
     anchors = words.select("doc_id", "page").distinct().withColumn("anchor_no", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("ax", (F.col("anchor_no") * 170).cast("double"))
     return layout.nearest_anchor(cells, anchors, ["doc_id", "page"]).select("doc_id", "page", "cell_no", "anchor_no")
 
 
-def nearest_columns(spark: SparkSession, folder: str) -> DataFrame:
-    """The nearest of six header anchors of each of the notes' words; of the notes only, as its SQL."""
-    return _nearest_columns(_page_words(spark, folder, "sheet_note"))
-
-
-def nearest_columns_all(spark: SparkSession, folder: str) -> DataFrame:
-    """The nearest of six header anchors of each word of all documents."""
-    return _nearest_columns(_page_words(spark, folder))
-
-
 def login_limits(spark: SparkSession, folder: str) -> DataFrame:
     """Decisions on attempts per user, a second of the events standing for a millisecond."""
     now = F.unix_seconds(F.col("ts").cast("timestamp"))
@@ -315,7 +297,7 @@ QUERIES = {
         rubric_cases, rubric_batches, rubric_winners, rubric_assertions, arena_leaderboard, sheet_validation, orphan_images, duplicate_images,
         sheet_truth, truth_errors, result_errors, error_classes, confidence_scales, registry_first, registry_merge, registry_history,
         registry_tags, registry_efficacy, registry_sample, doc_scores, doc_summary, doc_types, doclog_summary, doclog_kinds, pii_spans,
-        pii_redacted, page_rows, column_parts, column_parts_all, nearest_columns, nearest_columns_all, login_limits, runs_merged, runs_new, runs_retained,
+        pii_redacted, page_rows, column_parts, nearest_columns, login_limits, runs_merged, runs_new, runs_retained,
         seeded_draws, markup_texts,
     )
 }

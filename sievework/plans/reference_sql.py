@@ -157,7 +157,7 @@ _NUMBERS = " , ".join(
 
 _KINDS = "['주민등록번호', '전화번호', '이메일', '개인식별번호', '성명']"
 _CONDITIONS = "['clean', 'blur', 'tilt', 'dark', 'glare', 'handwriting', 'fold', 'unknown']"
-_DOCS = f"""WITH d AS (SELECT doc_id, {_CONDITIONS}[(doc_id % 8 + 1)::int] AS condition, n_chars FROM documents),
+DOCS_SQL = f"""WITH d AS (SELECT doc_id, {_CONDITIONS}[(doc_id % 8 + 1)::int] AS condition, n_chars FROM documents),
 it AS (SELECT doc_id, k AS item_no, {_KINDS}[k + 1] AS type, 100 AS x0, 100 + k * 200 AS y0, 300 AS x1, 140 + k * 200 AS y1, (doc_id + k * 3 + n_chars) % 5 AS way FROM d, range(5) r(k) WHERE n_chars > 60),
 bx AS (
     SELECT doc_id, item_no, unnest(case way when 0 then [[90, 90, 310, 150]] when 1 then [[100, 100, 210, 140], [190, 95, 320, 145]] when 2 then [[290, 120, 500, 160]] when 3 then [[600, 100, 700, 150]] else [] end) AS b
@@ -179,7 +179,7 @@ ds AS (
     FROM d LEFT JOIN pi USING (doc_id) LEFT JOIN pb USING (doc_id)
 )
 """
-_PCT = lambda part, whole: f"case when {whole} > 0 then floor(({part}) / ({whole}) * 1000 + 0.5) / 10 end"
+percent_sql = lambda part, whole: f"case when {whole} > 0 then floor(({part}) / ({whole}) * 1000 + 0.5) / 10 end"
 
 _LOG = f"""WITH l AS (SELECT *, {_CONDITIONS}[(user_id % 8 + 1)::int] AS condition, event_type = 'error' AS bad, event_id % 4 AS au, user_id % 3 AS ma, event_id % 5 % 2 AS er,
     least(1.0, greatest(0.0, value / 100)) AS conf, event_id % 1000 AS ms FROM events),
@@ -187,7 +187,7 @@ o AS (SELECT *, case when au + ma = 0 then 'failed' when bad or au = 0 then 'man
 """
 _IS = lambda o: f"count(*) filter (outcome = '{o}')"
 
-_WORDS = r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(trim(text), '\s+')) AS text, generate_subscripts(regexp_split_to_array(trim(text), '\s+'), 1) - 1 AS word_no FROM documents WHERE source = 'sheet_note'),
+WORDS_SQL = r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(trim(text), '\s+')) AS text, generate_subscripts(regexp_split_to_array(trim(text), '\s+'), 1) - 1 AS word_no FROM documents),
 p AS (SELECT doc_id, word_no // 400 AS page, word_no, word_no % 8 * 120 AS x0, word_no % 8 * 120 + 9 * length(text) AS x1, word_no % 400 // 8 AS row_no FROM w)
 """
 
@@ -197,7 +197,8 @@ _COLORS = (
     ("청록", "청록|틸|민트"), ("초록", "초록|녹색|그린|진녹"), ("연두", "연두|연녹|라임|연초록"), ("보라", "보라|자주|퍼플|바이올렛|라벤더"), ("회색", "회색|그레이|은색|회백"), ("검정", "검정|검은|흑색|블랙"), ("투명", "투명|무색"),
 )
 _COLOR_CASE = "case " + " ".join(f"when regexp_matches(c, '{p}') then '{n}'" for n, p in _COLORS) + " else c end"
-_MARK = lambda x: f"(case when coalesce({x}, '') in ('', '없음', '확인불가') then '' else upper(regexp_replace(regexp_replace({x}, '분할선|마크|식별', '', 'g'), '[^0-9A-Za-z가-힣]', '', 'g')) end)"
+colors_sql = lambda x: f"list_reduce(list_transform(list_filter(regexp_split_to_array(coalesce({x}, ''), '[|,/·+\\s]+'), lambda c: c <> ''), lambda c: [{_COLOR_CASE}]), lambda a, x: case when list_contains(a, x[1]) then a else list_concat(a, x) end, []::varchar[])"
+mark_sql = lambda x: f"(case when coalesce({x}, '') in ('', '없음', '확인불가') then '' else upper(regexp_replace(regexp_replace({x}, '분할선|마크|식별', '', 'g'), '[^0-9A-Za-z가-힣]', '', 'g')) end)"
 
 _CLEAN = "'<p><![CDATA[' || coalesce(\"at\", '') || ']]></p>&nbsp;<br/>' || coalesce(ef, '')"
 for _pattern, _new in ((r"(?s)<!\[CDATA\[(.*?)\]\]>", r"\1"), (r"(?i)<br\s*/?>|</(?:p|PARAGRAPH|ARTICLE|SECTION)>", "\n"), ("<[^>]+>", "")):
@@ -229,8 +230,8 @@ ORACLES = {
     "confidence_scales": """SELECT result_id, case when c is not null then round(least(1, greatest(0, case when c > 1 then c / 100 else c end)), 6) end AS unit, case when c is not null then round(least(1, greatest(0, case when c > 1 and c <= 100 then c / 100 else c end)), 6) end AS rubric,
     case when c between 0 and 100 then round(c, 6) end AS contract, case when c is not null then round(least(100, greatest(0, c)), 6) end AS clamped FROM (SELECT result_id, prediction.confidence AS c FROM research_result)""",
     "registry_first": f"""WITH f AS (SELECT q, arg_min(entry_id, (fetched_at, entry_id)) AS entry_id FROM pill_registry WHERE trim(coalesce(q, '')) <> '' GROUP BY 1)
-    SELECT entry_id, q, n, {_MARK("pf")} AS front, {_MARK("pb")} AS back,
-    array_to_string(list_reduce(list_transform(list_filter(regexp_split_to_array(coalesce(k1, ''), '[|,/·+\\s]+'), lambda c: c <> ''), lambda c: [{_COLOR_CASE}]), lambda a, x: case when list_contains(a, x[1]) then a else list_concat(a, x) end, []::varchar[]), '|') AS colors
+    SELECT entry_id, q, n, {mark_sql("pf")} AS front, {mark_sql("pb")} AS back,
+    array_to_string({colors_sql("k1")}, '|') AS colors
     FROM f JOIN pill_registry USING (q, entry_id)""",
     "registry_merge": "SELECT DISTINCT q, n, null::int AS x FROM pill_registry WHERE x IS NULL UNION ALL SELECT DISTINCT q, n, 1 FROM pill_registry WHERE q NOT IN (SELECT q FROM pill_registry WHERE x IS NULL)",
     "registry_history": "SELECT q, max(fetched_at)::date::varchar AS last_seen FROM pill_registry WHERE q NOT IN (SELECT q FROM pill_registry WHERE x IS NULL) GROUP BY 1",
@@ -240,17 +241,17 @@ ORACLES = {
     s AS (SELECT q, arg_min({'ef': coalesce(ef, ''), 'at': coalesce("at", '')}, eff_id) AS r FROM f WHERE src = 'easy' GROUP BY 1),
     j AS (SELECT g.q, p.r AS pr, s.r AS er, case when p.r.ef <> '' then 'prm' when s.r.ef <> '' then 'easy' when p.r.at <> '' then 'prm' when s.r.at <> '' then 'easy' end AS src FROM (SELECT DISTINCT q FROM pill_registry) g LEFT JOIN p USING (q) LEFT JOIN s USING (q))
     SELECT q, case src when 'prm' then pr.ef else er.ef end AS ef, case src when 'prm' then pr.at else er.at end AS "at", src FROM j WHERE src IS NOT NULL""",
-    "doc_scores": _DOCS + "SELECT * FROM ds",
-    "doc_summary": _DOCS + f"""SELECT condition, count(*) AS docs, count(*) filter (complete) AS complete_docs, {_PCT("count(*) filter (complete)", "count(*)")} AS complete_rate, sum(items) AS items, sum(covered) AS covered_items, {_PCT("sum(covered)", "sum(items)")} AS item_recall,
+    "doc_scores": DOCS_SQL + "SELECT * FROM ds",
+    "doc_summary": DOCS_SQL + f"""SELECT condition, count(*) AS docs, count(*) filter (complete) AS complete_docs, {percent_sql("count(*) filter (complete)", "count(*)")} AS complete_rate, sum(items) AS items, sum(covered) AS covered_items, {percent_sql("sum(covered)", "sum(items)")} AS item_recall,
     sum(missed) AS missed_items, floor(sum(missed) / count(*) * 100 + 0.5) / 100 AS mean_missed, count(*) filter (missed = 0) AS missed_none, count(*) filter (missed = 1) AS missed_one, count(*) filter (missed >= 2) AS missed_more, floor(avg(over_redaction) * 100 + 0.5) / 100 AS mean_over_redaction FROM ds GROUP BY 1""",
-    "doc_types": _DOCS + f"SELECT type, count(*) AS items, count(*) filter (covered) AS covered, {_PCT('count(*) filter (covered)', 'count(*)')} AS recall, type in ('주민등록번호', '개인식별번호') AS high_risk FROM sc GROUP BY 1",
-    "doclog_summary": _LOG + f"""SELECT condition, count(*) AS docs, count(*) filter (not bad) AS ocr_succeeded, {_PCT("count(*) filter (not bad)", "count(*)")} AS ocr_success_rate, {", ".join(f"{_IS(o)} AS n_{o}" for o in ("auto", "manual_assisted", "manual_only", "failed"))},
-    {_PCT(_IS("auto"), "count(*)")} AS auto_rate, {_PCT(_IS("manual_assisted") + " + " + _IS("manual_only"), "count(*)")} AS touched_rate, {_PCT(_IS("manual_only"), _IS("manual_only") + " + " + _IS("failed"))} AS recovery_rate, {_PCT(_IS("failed"), "count(*)")} AS failed_rate,
+    "doc_types": DOCS_SQL + f"SELECT type, count(*) AS items, count(*) filter (covered) AS covered, {percent_sql('count(*) filter (covered)', 'count(*)')} AS recall, type in ('주민등록번호', '개인식별번호') AS high_risk FROM sc GROUP BY 1",
+    "doclog_summary": _LOG + f"""SELECT condition, count(*) AS docs, count(*) filter (not bad) AS ocr_succeeded, {percent_sql("count(*) filter (not bad)", "count(*)")} AS ocr_success_rate, {", ".join(f"{_IS(o)} AS n_{o}" for o in ("auto", "manual_assisted", "manual_only", "failed"))},
+    {percent_sql(_IS("auto"), "count(*)")} AS auto_rate, {percent_sql(_IS("manual_assisted") + " + " + _IS("manual_only"), "count(*)")} AS touched_rate, {percent_sql(_IS("manual_only"), _IS("manual_only") + " + " + _IS("failed"))} AS recovery_rate, {percent_sql(_IS("failed"), "count(*)")} AS failed_rate,
     floor((avg(conf) + 2.220446049250313e-16) * 1000 + 0.5) / 1000 AS mean_confidence, floor(avg(ms) filter (ms > 0) + 0.5) AS mean_elapsed_ms FROM o GROUP BY 1""",
     "doclog_kinds": _LOG + "SELECT 'a' AS kind, sum(au) AS count FROM o UNION ALL SELECT 'b', sum(ma) FROM o",
-    "column_parts": _WORDS + """, g AS (SELECT *, max(x1) OVER (PARTITION BY doc_id, page, row_no ORDER BY x0, word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p)
+    "column_parts": WORDS_SQL + """, g AS (SELECT *, max(x1) OVER (PARTITION BY doc_id, page, row_no ORDER BY x0, word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p)
     SELECT doc_id, page, word_no, row_no, sum(coalesce(x0 - reach > 60, false)::int) OVER (PARTITION BY doc_id, page, row_no ORDER BY x0, word_no ROWS UNBOUNDED PRECEDING) AS part_no FROM g""",
-    "nearest_columns": _WORDS + "SELECT doc_id, page, word_no AS cell_no, arg_min(a, (abs(a * 170 - (x0 + x1) / 2), a)) AS anchor_no FROM p, range(6) r(a) GROUP BY ALL",
+    "nearest_columns": WORDS_SQL + "SELECT doc_id, page, word_no AS cell_no, arg_min(a, (abs(a * 170 - (x0 + x1) / 2), a)) AS anchor_no FROM p, range(6) r(a) GROUP BY ALL",
     "runs_merged": "SELECT max(result_id) AS result_id, run_id FROM research_result GROUP BY run_id, sample_id, provider, model, created_at",
     "runs_new": "SELECT result_id, run_id FROM research_result r WHERE received_at > created_at + INTERVAL 1 HOUR AND NOT EXISTS (SELECT 1 FROM research_result o WHERE o.received_at <= o.created_at + INTERVAL 1 HOUR AND o.run_id = r.run_id AND o.provider = r.provider)",
     "runs_retained": "SELECT result_id FROM research_result ORDER BY created_at DESC NULLS LAST, result_id DESC LIMIT 100",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.plans import evaluation, reference, training
+from sievework.plans import evaluation, measurement, reference, training
 
-MODULES = [training, evaluation, reference]
+MODULES = [training, evaluation, reference, measurement]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -232,6 +232,5 @@ def test_pages_of_all_documents(spark, tmp_path):
             rows.add((i, n // 400, n, n % 400 // 8, part))
             nearest.add((i, n // 400, n, min(range(6), key=lambda a: abs(a * 170 - (x0 + x1) / 2))))
     got = lambda name: [tuple(r) for r in reference.QUERIES[name](spark, str(tmp_path)).collect()]
-    for name, want in (("page_rows", rows), ("column_parts_all", rows), ("nearest_columns_all", nearest)):
+    for name, want in (("page_rows", rows), ("column_parts", rows), ("nearest_columns", nearest)):
         assert len(found := got(name)) == len(want) and set(found) == want, name
-    assert set(got("column_parts")) == {r for r in rows if r[0] == 0} and set(got("nearest_columns")) == {r for r in nearest if r[0] == 0}
