@@ -149,14 +149,14 @@ def word_table(texts: DataFrame, column: str) -> DataFrame:
 def trie(words: DataFrame, asked: DataFrame) -> DataFrame:
     """The inner nodes of the trie of ``word`` per ``before`` that are asked for: ``before, word, n_below, n``.
 
-    ``word`` is a proper prefix of ``n_below`` words, which occur ``n`` times. ``asked`` has
+    ``words`` has one row per ``before, word`` with its ``n``. A node's ``word`` is a proper prefix of ``n_below`` words, which occur ``n`` times. ``asked`` has
     ``before, word``: of each branch (first character) only the depths asked for are
     built, so a word of n characters has as many nodes as there are lengths asked
     for, not n. A branch's depths are one small array, joined on salted keys.
     """
     branch = F.left("word", F.lit(1)).alias("_branch")
     depths = asked.groupBy("before", branch).agg(F.collect_set(F.length("word")).alias("_depths"))
-    per_word = words.groupBy("before", "word").agg(F.sum("n").alias("n")).select("before", "word", "n", branch)
+    per_word = words.select("before", "word", "n", branch)
     deep = F.explode(F.filter("_depths", lambda d: d < F.length("word")))
     nodes = salted_left_join(per_word, depths, ["before", "_branch"]).select("before", "word", "n", deep.alias("_depth"))
     return nodes.groupBy("before", F.left("word", F.col("_depth")).alias("word")).agg(F.count("*").alias("n_below"), F.sum("n").alias("n"))
@@ -205,7 +205,8 @@ def judge(rows: DataFrame, key: str, source: str, column: str) -> DataFrame:
     )
     ends = materialize(ends)
     pairs = materialize(word_table(rows.select(F.col(column).cast("string").alias("_text")), "_text"))
-    words = pairs.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "n_end", "n_stop")]).select(F.lit("").alias("before"), "word", "n", "n_end", "n_stop")
+    words = pairs.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "n_end", "n_stop")])
+    words = materialize(words.select(F.lit("").alias("before"), "word", "n", "n_end", "n_stop"))
     last = ends.filter(~F.col("verdict").isin("blank", "closed") & (F.col("word") != ""))
     asked = materialize(last.groupBy("before", "word").agg(F.countDistinct("n_chars").alias("n_lengths")))
     asked_words = asked.select(F.lit("").alias("before"), "word").distinct()
