@@ -33,8 +33,10 @@ def leaderboard(ratings: DataFrame, totals: DataFrame, votes: DataFrame) -> Data
         F.countDistinct("run_id").alias("batches"), F.count(points).alias("rated"), F.round(F.avg(points) * 100, 4).alias("accuracy")
     )
     voted = totals.join(votes, "run_id", "left")
+    # totals have few decimals: summed as whole ten-thousandths, their mean does not depend on the order
+    whole = F.sum(F.round(F.col("total") * 10_000).cast("bigint"))
     sums = voted.groupBy("provider", "model").agg(
-        F.round(F.avg("total"), 4).alias("mean_total"), F.count_if(F.col("vote") == F.col("model")).alias("wins"), F.count_if(F.col("vote") == "tie").alias("ties")
+        F.round(F.try_divide(whole, F.count("total")) / 10_000, 4).alias("mean_total"), F.count_if(F.col("vote") == F.col("model")).alias("wins"), F.count_if(F.col("vote") == "tie").alias("ties")
     )
     return cases.join(sums, ["provider", "model"], "left")
 

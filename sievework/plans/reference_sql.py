@@ -213,6 +213,16 @@ ORACLES = {
     "rubric_winners": RUBRIC_SQL + "SELECT * FROM win",
     "rubric_assertions": RUBRIC_SQL
     + "SELECT result_id, coalesce(verdict = 'correct' and coalesce(imprint_similarity, 0) >= 0.8, false) AS passes, coalesce(evidence >= 18, false) AS evidence_passes, coalesce(hallucination >= 15, false) AS hallucination_passes, coalesce(clarity >= 12, false) AS clarity_passes FROM rc",
+    "arena_leaderboard": RUBRIC_SQL + """, points AS (SELECT run_id, provider, model, case verdict when 'correct' then 1.0 when 'partial' then 0.5 when 'wrong' then 0.0 end AS p FROM rc),
+    pc AS (SELECT provider, model, count(DISTINCT run_id) AS batches, count(p) AS rated, round(avg(p) * 100, 4) AS accuracy FROM points GROUP BY ALL),
+    rk AS (SELECT run_id, model, total, row_number() OVER (PARTITION BY run_id ORDER BY total DESC, model) AS k FROM bt WHERE total IS NOT NULL),
+    vt AS (SELECT n.run_id, case when n < 2 then '' when a.total - b.total <= 1 then 'tie' else a.model end AS vote FROM (SELECT run_id, count(total) AS n FROM bt GROUP BY 1) n LEFT JOIN rk a ON a.run_id = n.run_id AND a.k = 1 LEFT JOIN rk b ON b.run_id = n.run_id AND b.k = 2),
+    sm AS (SELECT provider, model, round(avg(total), 4) AS mean_total, count(*) filter (vote = model) AS wins, count(*) filter (vote = 'tie') AS ties FROM bt LEFT JOIN vt USING (run_id) GROUP BY ALL)
+    SELECT * FROM pc LEFT JOIN sm USING (provider, model)""",
+    "login_limits": """WITH e AS (SELECT event_id, user_id::varchar AS limit_key, epoch(ts)::bigint AS ms FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events)),
+    l AS (SELECT limit_key, list({'id': event_id, 'at': ms, 's': ms, 'c': 1} ORDER BY ms, event_id) AS es FROM e WHERE limit_key IS NOT NULL GROUP BY 1),
+    f AS (SELECT limit_key, list_reduce(list_transform(es, lambda e: [e]), lambda acc, x: list_append(acc, case when x[1].at - acc[-1].s >= 600000 then {'id': x[1].id, 'at': x[1].at, 's': x[1].at, 'c': 1} else {'id': x[1].id, 'at': x[1].at, 's': acc[-1].s, 'c': acc[-1].c + 1} end)) AS s FROM l),
+    u AS (SELECT limit_key, unnest(s) AS s FROM f) SELECT s.id AS event_id, limit_key, s.c AS count, s.c <= 5 AS allowed, greatest(0, s.s + 600000 - s.at) AS retry_after_ms FROM u""",
     "sheet_validation": _VALIDATION,
     "orphan_images": f"WITH {_IMAGES} SELECT * FROM files WHERE image_key NOT IN (SELECT unnest([{_key('images.front')}, {_key('images.back')}]) FROM gt_record)",
     "duplicate_images": f"WITH {_IMAGES} SELECT * FROM files WHERE n_files > 1",

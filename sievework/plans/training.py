@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import records, shred
 from sievework.operators.skew import union_all
+from sievework.plans import training_sql
 from sievework.sources.tables import spread_table, table
 
 SAMPLE_PATHS = ("$.samples[*]", "$.dataset.samples[*]")
@@ -234,4 +235,4 @@ QUERIES = {
         p2_sample_predictions, p2_sample_metrics, p2_sample_errors, p2_sample_meta, p2_rest, p2_broken, p3_found, p3_rejected, p3_loaded, p3_sheet_report,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = training_sql.ORACLES
