@@ -217,7 +217,7 @@ ORACLES = {
     pc AS (SELECT provider, model, count(DISTINCT run_id) AS batches, count(p) AS rated, round(avg(p) * 100, 4) AS accuracy FROM points GROUP BY ALL),
     rk AS (SELECT run_id, model, total, row_number() OVER (PARTITION BY run_id ORDER BY total DESC, model) AS k FROM bt WHERE total IS NOT NULL),
     vt AS (SELECT n.run_id, case when n < 2 then '' when a.total - b.total <= 1 then 'tie' else a.model end AS vote FROM (SELECT run_id, count(total) AS n FROM bt GROUP BY 1) n LEFT JOIN rk a ON a.run_id = n.run_id AND a.k = 1 LEFT JOIN rk b ON b.run_id = n.run_id AND b.k = 2),
-    sm AS (SELECT provider, model, round(avg(total), 4) AS mean_total, count(*) filter (vote = model) AS wins, count(*) filter (vote = 'tie') AS ties FROM bt LEFT JOIN vt USING (run_id) GROUP BY ALL)
+    sm AS (SELECT provider, model, round(sum(round(total * 10000)::bigint) / count(total) / 10000, 4) AS mean_total, count(*) filter (vote = model) AS wins, count(*) filter (vote = 'tie') AS ties FROM bt LEFT JOIN vt USING (run_id) GROUP BY ALL)
     SELECT * FROM pc LEFT JOIN sm USING (provider, model)""",
     "login_limits": """WITH e AS (SELECT event_id, user_id::varchar AS limit_key, epoch(ts)::bigint AS ms FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events)),
     l AS (SELECT limit_key, list({'id': event_id, 'at': ms, 's': ms, 'c': 1} ORDER BY ms, event_id) AS es FROM e WHERE limit_key IS NOT NULL GROUP BY 1),
