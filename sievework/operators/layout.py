@@ -35,11 +35,12 @@ def _center(row: pd.Series) -> float:
     return (row.y0 + row.y1) / 2
 
 
-def visual_rows(words: DataFrame, running: bool = False) -> DataFrame:
+def visual_rows(words: DataFrame, running: bool = False, tolerance: float | None = None) -> DataFrame:
     """``words`` with ``row_no``: greedy rows by vertical centre.
 
     By default a word joins the first row whose first word's centre is within 0.6 of the smaller height, 12 at
     least; with ``running`` a row's centre is the mean of its words and the tolerance 0.6 of the larger height.
+    ``tolerance``: a fixed one, in pixels, instead.
     """
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
@@ -49,7 +50,7 @@ def visual_rows(words: DataFrame, running: bool = False) -> DataFrame:
         for word in page.itertuples():
             middle, height = (word.y0 + word.y1) / 2, word.y1 - word.y0
             for k, row in enumerate(rows):
-                near = 0.6 * max(row[1], height) if running else max(12.0, 0.6 * min(row[1], height))
+                near = tolerance if tolerance is not None else 0.6 * max(row[1], height) if running else max(12.0, 0.6 * min(row[1], height))
                 if abs(row[0] - middle) <= near:
                     if running:
                         row[0] = (row[0] * row[2] + middle) / (row[2] + 1)
@@ -67,7 +68,7 @@ def visual_rows(words: DataFrame, running: bool = False) -> DataFrame:
     return narrow.groupBy(*PAGE).applyInPandas(run, WORDS + ", row_no int")
 
 
-def split_by_gap(words: DataFrame, gap: float, keys: list[str]) -> DataFrame:
+def split_by_gap(words: DataFrame, gap: float | Column, keys: list[str]) -> DataFrame:
     """``words`` with ``part_no``: a new part starts where the gap to what came before in the row is wider than ``gap``."""
     by = Window.partitionBy(*keys).orderBy("x0", "word_no")
     reach = F.max("x1").over(by.rowsBetween(Window.unboundedPreceding, -1))
