@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.plans import evaluation, measurement, reference, training
+from sievework.plans import evaluation, measurement, pages, reference, training
 
-MODULES = [training, evaluation, reference, measurement]
+MODULES = [training, evaluation, reference, measurement, pages]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
