@@ -139,3 +139,38 @@ def csv_rows(scored: DataFrame) -> DataFrame:
     """One CSV line per scored row, cells quoted and disarmed."""
     cells = ["sample_id", "run_id", "provider", "model", "variant", "classification", "prediction.drug_name", "prediction.front_imprint", "prediction.back_imprint", "error"]
     return scored.select("result_id", F.concat_ws(",", *[csv_cell(c) for c in cells]).alias("line"))
+
+
+def dashboard_models(models: DataFrame) -> DataFrame:
+    """The leaderboard as a dashboard shows it: rates as percentages, most accurate first."""
+    pct = lambda c: F.round(F.col(c) * 100, 4)
+    return models.select(
+        "provider", "model", "samples", pct("top1_accuracy").alias("accuracy"), pct("partial_rate").alias("partial"), F.col("high_confidence_misidentification").alias("dangerous"),
+        "front_imprint_cer", "back_imprint_cer", "average_confidence", "brier_loss", "average_latency_ms", "total_cost_usd", "cost_per_sample_usd", "robustness_score",
+    ).orderBy(F.desc_nulls_last("accuracy"), "provider", "model")
+
+
+def dashboard_conditions(conditions: DataFrame) -> DataFrame:
+    """The roll-up by condition as a dashboard shows it."""
+    pct = lambda c: F.round(F.col(c) * 100, 4)
+    return conditions.select("field", "value", "samples", pct("top1_accuracy").alias("accuracy"), pct("error_rate").alias("error_rate"))
+
+
+def costs_by_model(scored: DataFrame) -> DataFrame:
+    """Total cost and cost per sample of each model; null where no cost is known."""
+    return scored.groupBy("provider", "model").agg(
+        F.round(F.sum("cost_usd"), 9).alias("total_cost_usd"), F.round(F.when(F.count("cost_usd") > 0, F.sum("cost_usd") / F.count("*")), 6).alias("cost_per_sample_usd")
+    )
+
+
+def sample_rows(scored: DataFrame) -> DataFrame:
+    """Scored rows (with ``answer``) in the thirty columns of the per-sample table."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    pair = lambda field: [text(f"answer.{field}").alias(f"{field}_truth"), text(f"prediction.{field}").alias(f"{field}_prediction")]
+    number = lambda c, name: r6(F.col(c).cast("double")).alias(name)
+    return scored.select(
+        "sample_id", "run_id", "provider", "model", "variant", "classification", F.col("dangerous").alias("high_confidence_misidentification"), *pair("drug_name"), *pair("front_imprint"), *pair("back_imprint"),
+        "exact_match", "partial_match", number("name_similarity", "drug_name_similarity"), number("front_similarity", "front_imprint_similarity"), number("back_similarity", "back_imprint_similarity"), number("imprint_cer", "imprint_CER"),
+        number("confidence", "confidence"), number("brier", "Brier_loss"), number("latency_ms", "latency_ms"), (F.col("classification") == "error").cast("int").alias("error_rate"), number("legacy_score", "legacy_score"),
+        *[number(f"usage.{c}", c) for c in ("input_tokens", "output_tokens", "cached_tokens")], F.round("cost_usd", 9).alias("cost_usd"), "cost_source", "error",
+    )

@@ -39,13 +39,13 @@ def with_truth(results: DataFrame, truths: DataFrame, order: str = "gt_id") -> D
     return joined.withColumn("truth", F.coalesce("_exact", "_first")).drop("_variant", "_exact", "_first")
 
 
-def score(results: DataFrame, truths: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+def score(results: DataFrame, truths: DataFrame, prices: DataFrame | None = None, with_answer: bool = False) -> DataFrame:
     """One scored row per result, flat: identity, class, metrics, scores and conditions.
 
     A missing truth counts as empty answers, a missing prediction likewise; a non-empty
     ``error`` makes the class ``error``. Confidence may be a share or a percentage.
     With ``prices``, tokens are priced where the provider gave no cost; the
-    ``cost_source`` says which. Null latency is 0.
+    ``cost_source`` says which. Null latency is 0. ``with_answer``: the truth's answer stays, as ``answer``.
     """
     joined = with_truth(results, truths)
     p, a, c = F.col("prediction"), F.col("truth.answer"), F.col("truth.condition")
@@ -55,7 +55,7 @@ def score(results: DataFrame, truths: DataFrame, prices: DataFrame | None = None
         T.drug_name(a["drug_name"]).alias("tn"), T.drug_name(p["drug_name"]).alias("pn"),
         T.imprint(a["front_imprint"]).alias("tf"), T.imprint(a["back_imprint"]).alias("tb"),
         T.imprint(p["front_imprint"]).alias("pf"), T.imprint(p["back_imprint"]).alias("pb"),
-        p.alias("prediction"), V.unit_confidence(p["confidence"]).alias("confidence"),
+        *([a.alias("answer")] if with_answer else []), p.alias("prediction"), V.unit_confidence(p["confidence"]).alias("confidence"),
         c["expected_readable"].alias("expected_readable"), *[c[f].alias(f) for f in ("light", "background", "blur", "angle")],
         T.safe("error").alias("error"), F.coalesce(V.finite("latency_ms"), F.lit(0.0)).alias("latency_ms"),
         F.col("usage"), "created_at",

@@ -70,9 +70,30 @@ def sample_csv(spark: SparkSession, folder: str) -> DataFrame:
     return rollups.csv_rows(scored(spark, folder))
 
 
+def sample_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The per-sample table, under its result."""
+    rows = scoring.score(spread_table(spark, folder, "research_result"), table(spark, folder, "gt_record"), table(spark, folder, "model_price"), with_answer=True)
+    return rollups.sample_rows(rows)
+
+
+def dashboard_models(spark: SparkSession, folder: str) -> DataFrame:
+    """The leaderboard as a dashboard shows it."""
+    return rollups.dashboard_models(leaderboard(spark, folder))
+
+
+def dashboard_conditions(spark: SparkSession, folder: str) -> DataFrame:
+    """The roll-up by condition as a dashboard shows it."""
+    return rollups.dashboard_conditions(conditions(spark, folder))
+
+
+def costs_by_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Cost of each model."""
+    return rollups.costs_by_model(scored(spark, folder))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (score_samples, leaderboard, conditions, robustness_samples, robustness_models, dataset_summary, failures, model_costs, dashboard_cards, sample_csv)
+    for f in (score_samples, leaderboard, conditions, robustness_samples, robustness_models, dataset_summary, failures, model_costs, dashboard_cards, sample_csv, sample_rows, dashboard_models, dashboard_conditions, costs_by_model)
 }
 
 
@@ -228,3 +249,16 @@ ORACLES = {
     + ", ".join(f"{{'card': '{c}', 'value': {c}::double * {100 if c in _RATES else 1}}}" for c in _CARDS) + "]) AS c FROM d)",
     "sample_csv": SCORED_SQL + f"SELECT result_id, {_CSV} AS line FROM scored",
 }
+
+_LEADERS = ORACLES["leaderboard"]
+ORACLES |= {
+    "dashboard_models": f"SELECT provider, model, samples, round(top1_accuracy * 100, 4) AS accuracy, round(partial_rate * 100, 4) AS partial, high_confidence_misidentification AS dangerous, front_imprint_cer, back_imprint_cer, average_confidence, brier_loss, average_latency_ms, total_cost_usd, cost_per_sample_usd, robustness_score FROM ({_LEADERS})",
+    "dashboard_conditions": f"SELECT field, value, samples, round(top1_accuracy * 100, 4) AS accuracy, round(error_rate * 100, 4) AS error_rate FROM ({ORACLES['conditions']})",
+    "costs_by_model": SCORED_SQL + "SELECT provider, model, round(sum(cost_usd), 9) AS total_cost_usd, round(case when count(cost_usd) > 0 then sum(cost_usd) / count(*) end, 6) AS cost_per_sample_usd FROM scored GROUP BY ALL",
+    "sample_rows": SCORED_SQL.replace("prediction AS p, usage AS u", "t.a AS a, prediction AS p, usage AS u")
+    + "SELECT sample_id, run_id, provider, model, variant, classification, dangerous AS high_confidence_misidentification, "
+    + ", ".join(f"coalesce(a.{c}, '') AS {c}_truth, coalesce(p.{c}, '') AS {c}_prediction" for c in ("drug_name", "front_imprint", "back_imprint"))
+    + ", exact_match, partial_match, round(name_similarity, 6) AS drug_name_similarity, round(front_similarity, 6) AS front_imprint_similarity, round(back_similarity, 6) AS back_imprint_similarity, round(imprint_cer, 6) AS \"imprint_CER\", "
+    + "round(confidence, 6) AS confidence, round(brier, 6) AS \"Brier_loss\", round(latency_ms, 6) AS latency_ms, (classification = 'error')::int AS error_rate, round(legacy_score, 6) AS legacy_score, "
+    + "round(u.input_tokens, 6) AS input_tokens, round(u.output_tokens, 6) AS output_tokens, round(u.cached_tokens, 6) AS cached_tokens, round(cost_usd, 9) AS cost_usd, cost_source, error FROM scored",
+}

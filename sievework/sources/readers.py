@@ -3,31 +3,128 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterable, Iterator
+from xml.etree import ElementTree
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.operators.records import DELIMITERS, tokenize, without_file_marks
+from sievework.operators.records import DELIMITERS, passes, record_fields, tokenize, without_file_marks
 
 
-def sniff_delimiter(record: str) -> str:
-    """The delimiter that occurs most outside quotes in a record; the first of comma, tab, semicolon on a tie."""
-    counts = tokenize([without_file_marks(record)] * len(DELIMITERS), DELIMITERS).fields
+def record_ends(text: str) -> list[tuple[int, int]]:
+    """Start and end of every record of a file: lines, but for line breaks inside quotes."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    quoted = np.cumsum(codes == 34) % 2 == 1
+    feeds = np.flatnonzero(((codes == 10) | ((codes == 13) & (np.append(codes[1:], 0) != 10))) & ~quoted)
+    ends = [*feeds.tolist(), len(codes)]
+    return [(a, b) for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends) if a < len(codes)]
+
+
+def sniff_delimiter(text: str) -> str:
+    """The delimiter that occurs most outside quotes in the first record of a text; the first of comma, tab, semicolon on a tie."""
+    ends = record_ends(text)
+    record = without_file_marks(text[ends[0][0] : ends[0][1]]) if ends else ""
+    counts = tokenize([record] * len(DELIMITERS), DELIMITERS).fields
     return DELIMITERS[int(counts.argmax())]
 
 
+def rows_of_text(text: str | None, delimiter: str | None = None) -> list[list[str]]:
+    """The cells of every row of a delimited text; rows may differ in length, blank ones are left out."""
+    body = (text or "").removeprefix("\ufeff")
+    sep = delimiter or sniff_delimiter(body)
+    records = [body[a:b].rstrip("\r") for a, b in record_ends(body)]
+    out: list[list[str]] = []
+    for some in passes(records):
+        part = records[some.start : some.stop]
+        tokens = tokenize(part, [sep] * len(part))
+        out += [cells for cells in (record_fields(r, tokens, k) for k, r in enumerate(part)) if any(c.strip() for c in cells)]
+    return out
+
+
+def delimited_rows(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+    """``file, row_no, cells`` of delimited files: doubled quotes, line breaks in quotes, no cell of a long row lost, blank rows left out.
+
+    The delimiter of each file is found in its first record unless it is given. A file is read by one task.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows = rows_of_text(text, delimiter)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], ["file", "row_no", "cells"]
+                )
+
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    return files.mapInArrow(run, "file string, row_no int, cells array<string>")
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """All-string rows of a delimited file: doubled quotes, line breaks in quotes, blank rows dropped, ragged rows kept."""
-    if delimiter is None:
-        first = spark.read.text(path).limit(1).collect()
-        delimiter = sniff_delimiter(first[0][0]) if first else ","
-    rows = spark.read.csv(path, sep=delimiter, quote='"', escape='"', multiLine=True, header=False, mode="PERMISSIVE", encoding="UTF-8")
-    if rows.columns:
-        rows = rows.withColumn(rows.columns[0], F.regexp_replace(rows.columns[0], "^\\x{FEFF}", ""))
-    return rows.filter(F.exists(F.array(*rows.columns), lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""))
+    """All-string rows of delimited files, as many columns as the longest row has; shorter rows end in nulls."""
+    rows = delimited_rows(spark, path, delimiter)
+    width = rows.agg(F.max(F.size("cells"))).first()[0] or 0
+    return rows.select(*[F.try_element_at("cells", F.lit(i + 1)).alias(f"_c{i}") for i in range(width)])
+
+
+def rows_of_workbook(content: bytes) -> list[list[str]]:
+    """The cells of the first sheet of an XLSX workbook as text, at their places; blank rows are left out."""
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        names = book.namelist()
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            shared = ["".join(t.text or "" for t in item.iter(f"{main}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{main}si")]
+        first = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet[0-9]+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
+        sheet = ElementTree.fromstring(book.read(first))
+    out = []
+    for row in sheet.iter(f"{main}row"):
+        cells: dict[int, str] = {}
+        for place, cell in enumerate(row.iter(f"{main}c")):
+            letters = re.match(r"[A-Z]+", cell.get("r") or "")
+            at = column_number(letters[0]) if letters else place
+            kind, value = cell.get("t"), cell.find(f"{main}v")
+            text = "".join(t.text or "" for t in cell.iter(f"{main}t")) if kind == "inlineStr" else (value.text or "") if value is not None else ""
+            cells[at] = shared[int(text)] if kind == "s" and text else {"1": "TRUE", "0": "FALSE"}.get(text, text) if kind == "b" else text
+        listed = [cells.get(i, "") for i in range(max(cells, default=-1) + 1)]
+        if any(c.strip() for c in listed):
+            out.append(listed)
+    return out
+
+
+def column_number(letters: str) -> int:
+    """Place of a sheet's column from its letters: A is 0, AA is 26."""
+    n = 0
+    for ch in letters:
+        n = n * 26 + ord(ch) - 64
+    return n - 1
+
+
+def answer_key_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``file, row_no, cells`` of answer keys by their extension: csv and txt with the delimiter found, tsv with tabs, xlsx the first sheet.
+
+    Any other extension is an error. A null byte or bad encoding does not stop the reading: undecodable bytes become U+FFFD.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                kind = file.rsplit(".", 1)[-1].lower()
+                if kind == "xlsx":
+                    rows = rows_of_workbook(content)
+                elif kind in ("csv", "txt", "tsv"):
+                    rows = rows_of_text(content.decode("utf-8", "replace"), "\t" if kind == "tsv" else None)
+                else:
+                    raise ValueError(f"no reader for .{kind} files: {file}")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], ["file", "row_no", "cells"]
+                )
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, row_no int, cells array<string>")
 
 
 def runs_of(stores: DataFrame, column: str, schema: str) -> DataFrame:

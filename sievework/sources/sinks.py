@@ -1,4 +1,4 @@
-"""Writers: CSV with byte-order mark, workbooks, printable reports, archives, backups. Tables for readers are small and made on the driver."""
+"""Writers: CSV, workbooks, printable reports, archives, backups. Tables for readers are small and made on the driver."""
 
 from __future__ import annotations
 
@@ -28,6 +28,14 @@ def write_csv(df: DataFrame, path: str) -> None:
     safe.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', lineSep="\r\n")
 
 
+def csv_file(df: DataFrame) -> bytes:
+    """A table for readers as one CSV file: byte-order mark, header, all cells quoted and disarmed, CRLF between lines; refused above ``MOST_ROWS``."""
+    head, *rows = _rows(df)
+    quoted = lambda v: '"' + ("" if v is None else str(v).lower() if isinstance(v, bool) else str(v)).replace('"', '""') + '"'
+    lines = [",".join(map(quoted, head)), *(r[0] for r in csv_lines(df).take(len(rows)))]
+    return ("\ufeff" + "\r\n".join(lines)).encode()
+
+
 def _rows(df: DataFrame) -> list[list]:
     rows = df.take(MOST_ROWS + 1)
     if len(rows) > MOST_ROWS:

@@ -234,3 +234,49 @@ def test_pages_of_all_documents(spark, tmp_path):
     got = lambda name: [tuple(r) for r in reference.QUERIES[name](spark, str(tmp_path)).collect()]
     for name, want in (("page_rows", rows), ("column_parts", rows), ("nearest_columns", nearest)):
         assert len(found := got(name)) == len(want) and set(found) == want, name
+
+
+def test_no_cell_of_a_long_row_is_lost(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('"h\n;1";b\n1;2;3\n"q""x"\n', encoding="utf-8", newline="")
+    assert readers.sniff_delimiter(path.read_text()) == ";" and readers.sniff_delimiter('"a\nb,c,d";e') == ";" and readers.sniff_delimiter("") == ","
+    assert [tuple(r) for r in readers.read_delimited(spark, str(path)).collect()] == [("h\n;1", "b", None), ("1", "2", "3"), ('q"x', None, None)]
+    (tmp_path / "e.csv").write_text("")
+    assert readers.read_delimited(spark, f"{tmp_path}/e.csv").columns == [] and readers.rows_of_text(None) == []
+
+
+def test_answer_keys_by_extension(spark, tmp_path):
+    df = spark.createDataFrame([("KC-1", 1.5, True, None), ("=x", 2.0, None, "가")], "case_id string, b double, c boolean, d string")
+    (tmp_path / "k.xlsx").write_bytes(sinks.workbook({"One": df, "Two": df.limit(0)}))
+    (tmp_path / "k.tsv").write_text("case_id\tb;c\n1\t2\n")
+    (tmp_path / "k.csv").write_bytes(sinks.csv_file(df))
+    got = {}
+    for r in readers.answer_key_rows(spark, str(tmp_path)).orderBy("file", "row_no").collect():
+        got.setdefault(r.file[-4:], []).append(r.cells)
+    assert got["xlsx"] == [["case_id", "b", "c", "d"], ["KC-1", "1.5", "TRUE"], ["=x", "2.0", "", "가"]]
+    assert got[".tsv"] == [["case_id", "b;c"], ["1", "2"]] and got[".csv"] == [["case_id", "b", "c", "d"], ["KC-1", "1.5", "true", ""], ["'=x", "2.0", "", "가"]]
+    assert (tmp_path / "k.csv").read_bytes().startswith(b"\xef\xbb\xbf")
+    (tmp_path / "k.pdf").write_text("x")
+    with pytest.raises(Exception, match="no reader for .pdf"):
+        readers.answer_key_rows(spark, f"{tmp_path}/k.pdf").collect()
+
+
+def test_reports_have_their_parts(spark):
+    import io
+    import zipfile
+
+    from sievework.operators import scoring
+    from sievework.sources import reports
+
+    truth = spark.createDataFrame([(1, "a", ("가나정", "AB", ""), (True, "original"))], "gt_id bigint, sample_id string, answer struct<drug_name:string,front_imprint:string,back_imprint:string>, condition struct<expected_readable:boolean,variant:string>")
+    for f in ("light", "background", "blur", "angle"):
+        truth = truth.withColumn("condition", F.col("condition").withField(f, F.lit("x")))
+    fields = "drug_name:string,drug_code:string,front_imprint:string,back_imprint:string,shape:string,color:string,confidence:double,evidence:string,uncertainty:string"
+    rows = [(i, "R", "a", "p", "m", ("다른정" if i % 2 else "가나정", "", "AB", "", "", "", 0.9, "", ""), (1.0, 1.0, None, 0.5), 10.0, "", {}) for i in range(6)]
+    results = spark.createDataFrame(rows, f"result_id bigint, run_id string, sample_id string, provider string, model string, prediction struct<{fields}>, usage struct<input_tokens:double,output_tokens:double,cached_tokens:double,cost_usd:double>, latency_ms double, error string, meta map<string,string>").withColumn("created_at", F.lit("2026-08-01").cast("timestamp"))
+    prices = spark.createDataFrame([("p", "m", 1.0, 1.0, 1.0)], "provider string, model string, input double, output double, cached double")
+    scored = scoring.score(results, truth, prices, with_answer=True).cache()
+    book = zipfile.ZipFile(io.BytesIO(reports.evaluation_workbook(scored)))
+    assert sum(n.startswith("xl/worksheets/") for n in book.namelist()) == 6 and 'name="Robustness"' in book.read("xl/workbook.xml").decode()
+    page = reports.evaluation_report(scored, "T")
+    assert all(x in page for x in ("Key figures", "50.0%", "Failures", "Limitations", "다른정"))
