@@ -303,9 +303,6 @@ def seoul_day(ts: Column | str) -> Column:
 def metric_text(x: Column, kind: str) -> Column:
     """A metric for readers: ratio, usd, ms, count, else three decimals; a dash for null."""
     shown = {
-        "ratio": F.concat(F.format_number(x * 100, "0.0"), F.lit("%")),
-        "usd": F.concat(F.lit("$"), F.format_number(x, "0.000000")),
-        "ms": F.concat(F.format_number(x, "0"), F.lit(" ms")),
-        "count": F.format_number(x, "#,##0"),
-    }.get(kind, F.format_number(x, "0.000"))
-    return F.when(x.isNull(), "—").otherwise(shown)
+        "ratio": F.format_string("%.1f%%", x.cast("double") * 100), "usd": F.format_string("$%.6f", x.cast("double")), "ms": F.format_string("%.0f ms", x.cast("double")), "count": F.format_number(x, 0),
+    }.get(kind, F.format_string("%.3f", x.cast("double")))
+    return F.when(finite(x).isNull(), "—").otherwise(shown)

@@ -153,3 +153,9 @@ def test_success_ends_the_window(spark):
     events = spark.createDataFrame(rows, "event_id bigint, limit_key string, now_ms bigint, success boolean")
     got = {r.event_id: (r["count"], r.allowed) for r in limits.decide(events, 2).collect()}
     assert got == {0: (1, True), 1: (2, True), 2: (3, False), 4: (1, True), 5: (2, True)}
+
+
+def test_metrics_for_readers(spark):
+    df = spark.createDataFrame([(0.5432, 1234567.0), (None, float("nan"))], "a double, b double")
+    shown = [V.metric_text(F.col("a"), k) for k in ("ratio", "usd", "ms", "other")] + [V.metric_text(F.col("b"), "count")]
+    assert [tuple(r) for r in df.select(*[c.alias(str(i)) for i, c in enumerate(shown)]).collect()] == [("54.3%", "$0.543200", "1 ms", "0.543", "1,234,567"), ("—",) * 5]
