@@ -243,3 +243,33 @@ def spaced_label(label: str) -> str:
     import re
 
     return r"\s*".join(re.escape(ch) for ch in label)
+
+
+def leaves(value: object, label: str | None = None) -> list[tuple[str | None, str]]:
+    """The texts within a nested value with their labels: an object's title first, then the rest in order."""
+    if isinstance(value, dict):
+        order = sorted(value.items(), key=lambda kv: kv[0].lower() != "title")
+        return [x for k, v in order for x in leaves(v, k)]
+    if isinstance(value, list):
+        return [x for v in value for x in leaves(v, label)]
+    return [] if value is None or isinstance(value, bool) or not str(value).strip() else [(label, str(value))]
+
+
+@F.arrow_udf(StringType())
+def _flattened(values: pa.Array) -> pa.Array:
+    import json
+
+    def one(text: str | None) -> str | None:
+        if text is None or text.lstrip()[:1] not in ("{", "["):
+            return text
+        try:
+            return "\n".join(t for _, t in leaves(json.loads(text)))
+        except (ValueError, RecursionError):
+            return text
+
+    return pa.array([one(v) for v in values.to_pylist()], pa.string())
+
+
+def document_text(x: Column | str, limit: int | None = None) -> Column:
+    """Readable text of a document given as markup or as a JSON object of nested parts; texts longer than ``limit`` end in …"""
+    return titled_markup_free(_flattened(safe(x)), limit)

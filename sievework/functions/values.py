@@ -278,6 +278,12 @@ def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.struct(F.least(a, c).alias("x0"), F.least(b, d).alias("y0"), F.greatest(a, c).alias("x1"), F.greatest(b, d).alias("y1"))
 
 
+def sized_box(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """Box from its corner and its size; a negative size turns it over."""
+    n = lambda v: F.coalesce(finite(v), F.lit(0.0))
+    return box(n(x), n(y), n(x) + n(w), n(y) + n(h))
+
+
 def area(b: Column) -> Column:
     return (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
 

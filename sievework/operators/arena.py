@@ -73,9 +73,39 @@ def retained(runs: DataFrame, when: str, key: str, most: int) -> DataFrame:
 
 
 def evicted_to_fit(runs: DataFrame, when: str, key: str, size: str, limit: int) -> DataFrame:
-    """The latest runs whose sizes together stay within ``limit`` bytes."""
-    newest = Window.orderBy(F.desc_nulls_last(when), F.desc(key))
-    return runs.withColumn("_upto", F.sum(size).over(newest.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_upto") <= limit).drop("_upto")
+    """The latest runs whose sizes together stay within ``limit`` bytes; runs without a time count as the oldest.
+
+    Sizes are summed per hour, and the running sums over hours, one row each, tell which hours stay whole; only the runs
+    of the one hour in which the limit is reached are put in order.
+    """
+    hour = F.coalesce(F.date_trunc("hour", F.col(when).cast("timestamp")), F.lit("0001-01-01 00:00:00").cast("timestamp"))
+    hourly = runs.groupBy(hour.alias("_hour")).agg(F.sum(F.coalesce(F.col(size), F.lit(0))).alias("_bytes"))
+    latest = Window.orderBy(F.desc("_hour"))  # a row per hour
+    summed = hourly.withColumn("_before", F.coalesce(F.sum("_bytes").over(latest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    reached = summed.filter(F.col("_before") + F.col("_bytes") > limit).agg(F.max("_hour").alias("_cut"))
+    marked = runs.withColumn("_hour", hour).join(F.broadcast(summed.select("_hour", "_before")), "_hour").crossJoin(F.broadcast(reached))  # hours, and one row
+    whole = marked.filter(F.col("_cut").isNull() | (F.col("_hour") > F.col("_cut"))).select(*runs.columns)
+    newest = Window.partitionBy("_hour").orderBy(F.desc_nulls_last(when), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
+    last = marked.filter(F.col("_hour") == F.col("_cut")).withColumn("_upto", F.col("_before") + F.sum(F.coalesce(F.col(size), F.lit(0))).over(newest))
+    return whole.unionByName(last.filter(F.col("_upto") <= limit).select(*runs.columns))
+
+
+def rating_source(automatic: Column, verdicts: Column, scores: Column, auto_verdicts: Column, components: dict[str, tuple[Column, Column]]) -> Column:
+    """Where a rating comes from and what a person changed: ``source`` (automatic, manual_override, manual) and ``changed``.
+
+    ``automatic``: whether there is an automatic rating; a case counts as changed (``case_1`` on) if its verdict differs or its points do by more
+    than 0.05, a component (given, automatic) likewise.
+    """
+    def case(v: Column, i: Column) -> Column:
+        auto = F.try_element_at(auto_verdicts, i + 1)
+        used, own = accuracy_points(v, F.try_element_at(scores, i + 1)), accuracy_points(auto, F.lit(None).cast("double"))
+        differs = (T.safe(v) != "") & ~v.eqNullSafe(auto)
+        return F.when(differs | F.coalesce(F.abs(used - own) > 0.05, F.lit(False)), F.concat(F.lit("case_"), (i + 1).cast("string")))
+
+    cases = F.filter(F.transform(verdicts, case), lambda x: x.isNotNull())
+    parts = F.array_compact(F.array(*[F.when(F.coalesce(F.abs(V.finite(given) - own) > 0.05, F.lit(False)), F.lit(name)) for name, (given, own) in components.items()]))
+    changed = F.when(automatic, F.concat(cases, parts)).otherwise(F.array().cast("array<string>"))
+    return F.struct(F.when(~automatic, "manual").when(F.size(changed) > 0, "manual_override").otherwise("automatic").alias("source"), changed.alias("changed"))
 
 
 def storage_report(runs: DataFrame, limit: int) -> DataFrame:

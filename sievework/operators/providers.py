@@ -51,7 +51,7 @@ def usage_of(usage: Column | str) -> Column:
 
 
 def batch_predictions(answers: DataFrame, cases: DataFrame) -> DataFrame:
-    """Parts of batch answers for each case: by the case's id, else by its place.
+    """Parts of batch answers for each case: by the case's id, else by CASE-n for the n-th case, else by its place.
 
     ``answers``: ``run_id, answer`` with a JSON list of objects that may carry ``case_id``; ``cases``: ``run_id,
     case_id, place``. A case without a part has null.
@@ -59,8 +59,10 @@ def batch_predictions(answers: DataFrame, cases: DataFrame) -> DataFrame:
     listed = F.from_json(T.json_part("answer"), "array<string>")
     parts = answers.select("run_id", F.posexplode(listed).alias("place", "part")).withColumn("case_id", T.trimmed(F.get_json_object("part", "$.case_id")))
     by_id = parts.filter("case_id <> ''").groupBy("run_id", "case_id").agg(F.min_by("part", "place").alias("by_id"))
-    joined = cases.join(by_id, ["run_id", "case_id"], "left").join(parts.select("run_id", "place", F.col("part").alias("by_place")), ["run_id", "place"], "left")
-    return joined.withColumn("part", F.coalesce("by_id", "by_place")).drop("by_id", "by_place")
+    number = F.regexp_extract(F.upper("case_id"), r"^CASE-0*([0-9]{1,6})$", 1)
+    by_number = parts.filter(number != "").groupBy("run_id", (number.cast("int") - 1).alias("place")).agg(F.min_by("part", "place").alias("by_number"))
+    joined = cases.join(by_id, ["run_id", "case_id"], "left").join(by_number, ["run_id", "place"], "left").join(parts.select("run_id", "place", F.col("part").alias("by_place")), ["run_id", "place"], "left")
+    return joined.withColumn("part", F.coalesce("by_id", "by_number", "by_place")).drop("by_id", "by_number", "by_place")
 
 
 class Registry:

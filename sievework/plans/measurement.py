@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as T
 from sievework.functions import values as V
-from sievework.operators import batch, bridge, doclog, redaction, registry, sheets
+from sievework.operators import batch, bridge, doclog, redaction, registry, sheets, synthetic
 from sievework.plans import reference, reference_sql
 from sievework.plans.reference_sql import DOCS_SQL, mark_sql, percent_sql
 from sievework.sources.tables import table
@@ -225,11 +225,22 @@ def daily_quotas(spark: SparkSession, folder: str) -> DataFrame:
     return limits.quotas(events, calls=3, refill=2, most=2).select("event_id", "day", "subject", "action", "allowed", "used", "remaining", "refills")
 
 
+def synthetic_ceiling(spark: SparkSession, folder: str) -> DataFrame:
+    """What the rules find at best in 120 synthetic documents, by kind."""
+    return batch.ceiling_by_type(batch.detectable_items(synthetic.items(synthetic.documents(spark, 5))))
+
+
+def synthetic_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The synthetic documents with their patients' numbers."""
+    docs = synthetic.documents(spark, 5)
+    return docs.join(synthetic.items(docs).filter("label = '환자번호'").select("doc_id", "value"), "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         batch_scores, batch_header, batch_csv, batch_ceiling, ceiling_types, ceiling_gaps, type_losses, review_outcomes, read_quality, bridge_truths, bridge_results, bridge_leaderboard, bridge_conditions,
-        audit_rows, sheet_rows_of_cases, named_items, usable_items, imprint_free, sample_pack, nested_sets, registry_refresh, mark_matches, call_errors, input_errors, rating_checks, daily_quotas,
+        audit_rows, sheet_rows_of_cases, named_items, usable_items, imprint_free, sample_pack, nested_sets, registry_refresh, mark_matches, call_errors, input_errors, rating_checks, daily_quotas, synthetic_ceiling, synthetic_documents,
     )
 }
 
@@ -311,6 +322,8 @@ ORACLES = {
     case when images IS NULL then 'images' end, case when images IS NOT NULL and coalesce(images.front, '') = '' then 'images.front' end, case when images IS NOT NULL and coalesce(images.back, '') = '' then 'images.back' end,
     case when gt_id % 11 = 0 then 'options' end, case when gt_id % 11 <> 0 and gt_id % 5 = 0 then 'options.cost_mode' end, case when gt_id % 11 <> 0 and gt_id % 7 = 0 then 'options.detail' end) AS errors FROM gt_record""",
     "rating_checks": "SELECT event_id, coalesce(event_id % 7 <> 0 AND coalesce(event_type, '') <> '' AND (value IS NULL OR value BETWEEN 0 AND 40), false) AND coalesce(value / 10 BETWEEN 0 AND 25, false) AND coalesce(user_id % 17 <= 15, false) AS valid FROM events",
+    "synthetic_documents": """WITH d AS (SELECT id AS doc_id, id // 5 AS k, (id // 5) * 13 + id % 5 AS seed FROM range(120) r(id)) SELECT doc_id, ['진단서', '처방전', '검사결과지'][k // 8 + 1] AS form,
+    ['original', 'blur', 'tilt', 'dark', 'glare', 'handwriting', 'fold', 'crumple'][k % 8 + 1] AS condition, seed, 'PT-' || lpad(((seed * 613 + 613) % 1000000)::varchar, 6, '0') AS value FROM d""",
     "daily_quotas": """WITH e AS (SELECT event_id, ((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Seoul')::date::varchar AS day, user_id::varchar AS subject, case when event_type = 'purchase' then 'refill' else 'consume' end AS action, epoch_ms(ts) AS ms FROM events),
     l AS (SELECT day, subject, list({'id': event_id, 'act': action, 'ok': false, 'u': 0, 'r': 0} ORDER BY ms, event_id) AS es FROM e GROUP BY ALL),
     f AS (SELECT day, subject, list_reduce(list_transform(es, lambda e: [e]), lambda acc, x: list_append(acc, {'id': x[1].id, 'act': x[1].act,

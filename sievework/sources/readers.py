@@ -178,3 +178,55 @@ def snapshots(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of dated snapshot files, with ``snapshot``, the date in the file's name; unreadable files are skipped."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     return rows.withColumn("snapshot", F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2}-\d{2})", 1))
+
+
+def backup_runs(stores: DataFrame, column: str, schema: str, kind: str) -> DataFrame:
+    """``file_ok, run, kept`` of every entry of backups: a bare list, or an object of this ``kind`` with ``runs``.
+
+    An entry is kept if it has an ``id`` and ``results``; a store of another kind or broken JSON gives one row with ``file_ok`` false.
+    """
+    text = F.trim(F.coalesce(F.col(column), F.lit("")))
+    wrapped = F.from_json(column, f"struct<kind:string,runs:array<{schema}>>")
+    listed = F.when(text.startswith("["), F.from_json(column, f"array<{schema}>")).when(wrapped["kind"] == kind, wrapped["runs"])
+    each = stores.select(listed.isNotNull().alias("file_ok"), F.explode_outer(listed).alias("run"))
+    kept = F.col("run").isNotNull() & (F.trim(F.coalesce(F.col("run.id").cast("string"), F.lit(""))) != "") & F.col("run.results").isNotNull()
+    return each.withColumn("kept", F.coalesce(kept, F.lit(False)))
+
+
+def backup_report(entries: DataFrame) -> DataFrame:
+    """Runs kept and entries skipped over all backups, and stores that were refused."""
+    return entries.agg(F.count_if("kept").alias("kept"), F.count_if(F.col("file_ok") & ~F.col("kept")).alias("skipped"), F.count_if(~F.col("file_ok")).alias("refused"))
+
+
+WORD = "struct<text:string,confidence:double,bbox:struct<x0:double,y0:double,x1:double,y1:double>>"
+BLOCKS = f"array<struct<paragraphs:array<struct<lines:array<struct<words:array<{WORD}>>>>>>>"
+
+
+def words_of_blocks(pages: DataFrame, column: str) -> DataFrame:
+    """Words of read pages (``doc_id, page`` and JSON of nested blocks) with their ``line_key``; a flat list of words is one line."""
+    raw = pages.withColumn("_json", F.col(column))
+    nested = raw.select("doc_id", "page", F.posexplode(F.from_json("_json", BLOCKS)).alias("b", "block"))
+    nested = nested.select("doc_id", "page", "b", F.posexplode("block.paragraphs").alias("p", "par")).select("doc_id", "page", "b", "p", F.posexplode("par.lines").alias("l", "line"))
+    nested = nested.select("doc_id", "page", F.concat_ws("-", "b", "p", "l").alias("line_key"), F.posexplode("line.words").alias("w", "word"))
+    flat = raw.select("doc_id", "page", F.lit("flat").alias("line_key"), F.posexplode(F.from_json("_json", f"array<{WORD}>")).alias("w", "word"))
+    words = nested.unionByName(flat).filter(F.trim(F.coalesce("word.text", F.lit(""))) != "")
+    return words.select("doc_id", "page", "line_key", "w", F.col("word.text").alias("text"), "word.bbox.*", F.col("word.confidence").alias("confidence"))
+
+
+def pack_rows(members: DataFrame) -> DataFrame:
+    """Rows of the answer key of each archive (its one csv member) beside its images: ``archive, row_no, cells, images``.
+
+    ``members``: ``archive, name, content`` as of ``archive_members``. ``images`` are the cells that name an image of the archive, folders and case ignored.
+    """
+    base = F.lower(F.element_at(F.split("name", "/"), -1))
+    images = members.filter(base.rlike(r"\.(?:jpe?g|png|webp|heic)$")).groupBy("archive").agg(F.collect_set(base).alias("there"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for archive, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows = rows_of_text(content.decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([pa.array([archive] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], ["archive", "row_no", "cells"])
+
+    keys = members.filter(base.endswith(".csv")).select("archive", "content").mapInArrow(run, "archive string, row_no int, cells array<string>")
+    named = F.filter("cells", lambda c: F.array_contains(F.coalesce("there", F.array().cast("array<string>")), F.lower(F.element_at(F.split(F.replace(F.trim(c), F.lit("\\"), F.lit("/")), "/"), -1))))
+    return keys.join(images, "archive", "left").select("archive", "row_no", "cells", named.alias("images"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import values as V
-from sievework.operators import rollups
-from sievework.sources.sinks import printable, workbook
+from sievework.operators import rollups, sheets
+from sievework.operators.records import SHEET_COLUMNS
+from sievework.sources.sinks import csv_file, printable, workbook
 
 #: Failures that a printable report shows.
 SHOWN_FAILURES = 100
@@ -43,3 +44,15 @@ def evaluation_report(scored: DataFrame, title: str = "Model comparison") -> str
     first = rollups.failures(scored).orderBy("result_id").limit(SHOWN_FAILURES)
     limits = scored.sparkSession.createDataFrame([(x,) for x in LIMITATIONS], "limitation string")
     return printable(title, {"Key figures": as_rows(figures), "Models": rollups.dashboard_models(rollups.leaderboard(scored)), "Failures": first, "Limitations": limits})
+
+
+def template_workbook(spark: SparkSession) -> bytes:
+    """The answer sheet's template: its columns with an example row, and a guide that says which must be filled."""
+    need = lambda c: "required" if c in sheets.REQUIRED else "one of these" if c in sheets.ANSWERS else "optional"
+    guide = spark.createDataFrame([(c, need(c), example) for c, example in zip(SHEET_COLUMNS, sheets.TEMPLATE_ROW)], "column string, need string, example string")
+    return workbook({"answers": sheets.template(spark), "guide": guide})
+
+
+def template_csv(spark: SparkSession) -> bytes:
+    """The answer sheet's template as a CSV file."""
+    return csv_file(sheets.template(spark))
