@@ -88,3 +88,26 @@ ORACLES = {
     "p3_found": _SHEETS + "SELECT rec_id FROM z WHERE reason IS NOT NULL AND rec_no > 1",
     "p3_loaded": _SHEETS + f"SELECT rec_id, sheet_id, rec_no, {', '.join(SHEET_COLUMNS)}, case when lower(trim(expected_readable)) in ('true', '1', 'y', 'yes') then true when lower(trim(expected_readable)) in ('false', '0', 'n', 'no') then false end AS readable FROM z WHERE reason IS NULL",
 }
+
+
+def _inside(rows: str, label: str, place: str) -> str:
+    """Objects under ``label`` of the objects ``o`` of ``rows``, one or a list, with their place."""
+    listed = f"case json_type(o, '$.{label}') when 'OBJECT' then [json_extract(o, '$.{label}')] when 'ARRAY' then json_extract(o, '$.{label}[*]') else [] end"
+    return f"SELECT * EXCLUDE (o) RENAME (inner_o AS o) FROM (SELECT *, unnest({listed}) AS inner_o, generate_subscripts({listed}, 1) - 1 AS {place} FROM {rows}) WHERE json_type(inner_o) = 'OBJECT'"
+
+
+def _nested(child: str, label: str, place: str, fields: Sequence[str]) -> str:
+    inner = _inside(f"(SELECT * FROM p WHERE child = '{child}')", label, place)
+    return f"SELECT 'result_dataset' AS parent_kind, dataset_id AS parent_id, sample_pos, child_pos, {place}, {_values('o')} AS n_values, {', '.join(_scalar('o', f) for f in fields)} FROM ({inner})"
+
+
+_ATTEMPT_ERRORS = _inside("(SELECT * FROM p WHERE child = 'attempt')", "error", "error_pos")
+ORACLES |= {
+    "p2_condition_notes": _DATASETS + _nested("condition", "notes", "note_pos", ("by", "tags")),
+    "p2_condition_tags": _DATASETS
+    + f"""SELECT 'result_dataset' AS parent_kind, dataset_id AS parent_id, sample_pos, child_pos, note_pos, tag_pos, json_extract_string(t, '$') AS tag FROM (SELECT *, unnest(json_extract(o, '$.tags[*]')) AS t, generate_subscripts(json_extract(o, '$.tags[*]'), 1) - 1 AS tag_pos
+    FROM ({_inside("(SELECT * FROM p WHERE child = 'condition')", "notes", "note_pos")}) WHERE json_type(o, '$.tags') = 'ARRAY') WHERE json_type(t) NOT IN ('NULL', 'OBJECT', 'ARRAY')""",
+    "p2_attempt_errors": _DATASETS + _nested("attempt", "error", "error_pos", ("code", "message", "detail")),
+    "p2_attempt_error_details": _DATASETS
+    + f"SELECT 'result_dataset' AS parent_kind, dataset_id AS parent_id, sample_pos, child_pos, error_pos, detail_pos, {_values('o')} AS n_values, {_scalar('o', 'wait_s')} FROM ({_inside('(' + _ATTEMPT_ERRORS + ')', 'detail', 'detail_pos')})",
+}
