@@ -102,15 +102,25 @@ def honest_uncertainty(x: Column | str) -> Column:
     return (text != "") & ~text.rlike(r"(?i)^(?:없음|없다|none|no|확실|확정)$")
 
 
+# Buckets of photos, in order: the bucket, the words of its readability, of readability or blur together,
+# of the blur, and the words of the blur that rule it out.
+CLARITY = (
+    ("각인 불명확", r"^(?:false|0|no)$|불가|unreadable", None, None, None),
+    ("혼합·판단곤란", None, r"혼합|곤란|partial|uncertain", None, None),
+    ("각인 불명확", None, None, r"심한|흐림|blur", r"없음|선명|정상|clear"),
+)
+CLEAR = "각인 명확"
+
+
 def clarity(readable: Column | str, blur: Column | str) -> Column:
-    """Bucket of a photo by its expected readability and blur: unclear, mixed or clear."""
+    """Bucket of a photo by its expected readability and blur, the first of ``CLARITY`` that fits, else ``CLEAR``."""
     said, blurred = F.lower(trimmed(nfkc(readable))), F.lower(trimmed(nfkc(blur)))
-    return (
-        F.when(said.rlike("^(?:false|0|no)$|불가|unreadable"), "각인 불명확")
-        .when(F.concat_ws(" ", said, blurred).rlike("혼합|곤란|partial|uncertain"), "혼합·판단곤란")
-        .when(~blurred.rlike("없음|선명|정상|clear") & blurred.rlike("심한|흐림|blur"), "각인 불명확")
-        .otherwise("각인 명확")
-    )
+    both = F.concat_ws(" ", said, blurred)
+    out = F.when(F.lit(False), F.lit(""))
+    for bucket, said_words, words, blur_words, unless in CLARITY:
+        tests = [x.rlike(w) for x, w in ((said, said_words), (both, words), (blurred, blur_words)) if w]
+        out = out.when(tests[0] & ~blurred.rlike(unless) if unless else tests[0], bucket)
+    return out.otherwise(CLEAR)
 
 
 # The conditions that make a variant, in order, with the words of the normal case.

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.operators.skew import salted_left_join
 
 # The kinds of substances that are tagged, and the least length of a name by language.
 TAGGED_TYPES = ("마약", "향정신성의약품", "대마")
@@ -191,3 +192,17 @@ def nested_sets(pool: DataFrame, sizes: tuple[tuple[int, int], ...] = SAMPLE_SET
     placed = first.withColumn("place", F.row_number().over(Window.orderBy("one_sided", "key")))
     sets = F.array(*[F.struct(F.lit(target).alias("target"), F.lit(n).alias("n")) for target, n in sizes])
     return placed.withColumn("_s", F.explode(sets)).filter(F.col("place") <= F.col("_s.n")).select("_s.target", "place", "q")
+
+
+def imprint_lookup(results: DataFrame, entries: DataFrame) -> DataFrame:
+    """``result_id, matched, candidate``: whether an entry has both predicted imprints, and the name of the first that has.
+
+    A result without any imprint is not looked up and has no row; imprints are compared as ``registry_mark`` has them. Of
+    entries with equal imprints the smallest ``entry_id`` counts; one imprint pair may be asked by many results, so they join on salted keys.
+    """
+    mark = T.registry_mark
+    asked = results.select("result_id", mark("prediction.front_imprint").alias("cf"), mark("prediction.back_imprint").alias("cb")).filter((F.col("cf") != "") | (F.col("cb") != ""))
+    listed = entries.select("entry_id", "n", mark("pf").alias("cf"), mark("pb").alias("cb")).filter((F.col("cf") != "") | (F.col("cb") != ""))
+    first = listed.groupBy("cf", "cb").agg(F.min_by(F.struct(T.safe("n").alias("n")), "entry_id").alias("_e"))
+    joined = salted_left_join(asked, first, ["cf", "cb"])
+    return joined.select("result_id", F.col("_e").isNotNull().alias("matched"), F.coalesce("_e.n", F.lit("")).alias("candidate"))

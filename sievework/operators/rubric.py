@@ -18,6 +18,11 @@ from sievework.session import materialize
 PARTIAL_SIMILARITY = 0.82
 SURE = 0.85
 TIE = 1.0
+# Words that tell how an answer was found, words of certainty (and those that only look like it), and claims of a look-up.
+METHOD_WORDS = r"(?i)각인|모양|형태|색|분할|식약처|mfds|품목|등록|사진|관찰|대조|일치"
+CERTAIN_WORDS = r"(?i)확정|확실|틀림없|명백|100\s*%|단정"
+NOT_CERTAIN = "불확실(?:성)?"
+CLAIM_WORDS = r"(?i)식약처|mfds|품목\s*(?:id|번호)|(?<![0-9A-Za-z_])db(?![0-9A-Za-z_])"
 
 
 def _name_parts(tn: Column, tc: Column, pn: Column, pc: Column) -> tuple[Column, Column, Column, Column]:
@@ -94,7 +99,7 @@ def cases(results: DataFrame, truths: DataFrame, database: DataFrame | None = No
     )
     v, ratio = F.col("verdict"), F.coalesce(F.col("imprint_similarity"), F.lit(0.0))
     cites = F.exists(F.array("cf", "cb", "ps", "pcol"), lambda x: (F.length(x) >= 2) & F.col("ce").contains(x))
-    method = F.col("evidence").rlike("(?i)각인|모양|형태|색|분할|식약처|mfds|품목|등록|사진|관찰|대조|일치")
+    method = F.col("evidence").rlike(METHOD_WORDS)
     stated = F.when(F.col("evidence") == "", 0.0).when(cites | method, 1.0).when(F.length("evidence") >= 12, 0.6).otherwise(0.3)
     stated = stated * F.when((v == "wrong") & (pn != ""), 0.25).otherwise(1.0)
     parts = [
@@ -108,8 +113,8 @@ def cases(results: DataFrame, truths: DataFrame, database: DataFrame | None = No
     possible = sum((F.when(there, w).otherwise(0.0) for w, _, there in parts[1:]), parts[0][0])
     honest = V.honest_uncertainty("uncertainty")
     sure = F.coalesce(F.col("confidence") >= SURE, F.lit(False))
-    definite = F.regexp_replace(F.concat_ws(" ", "evidence", "uncertainty"), "불확실(?:성)?", "").rlike(r"(?i)확정|확실|틀림없|명백|100\s*%|단정")
-    claims = F.col("evidence").rlike(r"(?i)식약처|mfds|품목\s*(?:id|번호)|(?<![0-9A-Za-z_])db(?![0-9A-Za-z_])")
+    definite = F.regexp_replace(F.concat_ws(" ", "evidence", "uncertainty"), NOT_CERTAIN, "").rlike(CERTAIN_WORDS)
+    claims = F.col("evidence").rlike(CLAIM_WORDS)
     named, wrong_side = F.col("named"), v != "correct"
     minus = lambda cond, points: F.when(F.coalesce(cond, F.lit(False)), F.lit(float(points))).otherwise(0.0)
     start = F.when(v == "correct", 20.0).when(~named & honest, 20.0).when(~named, 15.0).when(v == "partial", 14.0).otherwise(6.0)

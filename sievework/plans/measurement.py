@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as T
 from sievework.functions import values as V
-from sievework.operators import batch, bridge, doclog, redaction, registry, sheets, synthetic
+from sievework.operators import batch, bridge, doclog, redaction, registry, rubric, sheets, synthetic
 from sievework.plans import reference, reference_sql
 from sievework.plans.reference_sql import DOCS_SQL, mark_sql, percent_sql
-from sievework.sources.tables import table
+from sievework.sources.tables import spread_table, table
 from sievework.streaming import limits
 
 # ---- batches of documents ---------------------------------------------------
@@ -225,6 +225,22 @@ def daily_quotas(spark: SparkSession, folder: str) -> DataFrame:
     return limits.quotas(events, calls=3, refill=2, most=2).select("event_id", "day", "subject", "action", "allowed", "used", "remaining", "refills")
 
 
+def imprint_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted imprints looked up in the registry."""
+    return registry.imprint_lookup(table(spark, folder, "research_result"), table(spark, folder, "pill_registry"))
+
+
+def rubric_database(spark: SparkSession, folder: str) -> DataFrame:
+    """Rubric scores of every result with the look-up as further evidence."""
+    results = spread_table(spark, folder, "research_result")
+    return rubric.cases(results, table(spark, folder, "gt_record"), registry.imprint_lookup(results, table(spark, folder, "pill_registry")))
+
+
+def clarity_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """Answer-sheet rows by the clarity of their photo."""
+    return table(spark, folder, "answer_sheet").groupBy(V.clarity("expected_readable", "blur").alias("clarity")).agg(F.count("*").alias("n"))
+
+
 def synthetic_ceiling(spark: SparkSession, folder: str) -> DataFrame:
     """What the rules find at best in 120 synthetic documents, by kind."""
     return batch.ceiling_by_type(batch.detectable_items(synthetic.items(synthetic.documents(spark, 5))))
@@ -240,7 +256,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         batch_scores, batch_header, batch_csv, batch_ceiling, ceiling_types, ceiling_gaps, type_losses, review_outcomes, read_quality, bridge_truths, bridge_results, bridge_leaderboard, bridge_conditions,
-        audit_rows, sheet_rows_of_cases, named_items, usable_items, imprint_free, sample_pack, nested_sets, registry_refresh, mark_matches, call_errors, input_errors, rating_checks, daily_quotas, synthetic_ceiling, synthetic_documents,
+        audit_rows, sheet_rows_of_cases, named_items, usable_items, imprint_free, sample_pack, nested_sets, registry_refresh, mark_matches, call_errors, input_errors, rating_checks, daily_quotas, imprint_lookup, rubric_database, clarity_buckets, synthetic_ceiling, synthetic_documents,
     )
 }
 
@@ -322,6 +338,12 @@ ORACLES = {
     case when images IS NULL then 'images' end, case when images IS NOT NULL and coalesce(images.front, '') = '' then 'images.front' end, case when images IS NOT NULL and coalesce(images.back, '') = '' then 'images.back' end,
     case when gt_id % 11 = 0 then 'options' end, case when gt_id % 11 <> 0 and gt_id % 5 = 0 then 'options.cost_mode' end, case when gt_id % 11 <> 0 and gt_id % 7 = 0 then 'options.detail' end) AS errors FROM gt_record""",
     "rating_checks": "SELECT event_id, coalesce(event_id % 7 <> 0 AND coalesce(event_type, '') <> '' AND (value IS NULL OR value BETWEEN 0 AND 40), false) AND coalesce(value / 10 BETWEEN 0 AND 25, false) AND coalesce(user_id % 17 <= 15, false) AS valid FROM events",
+    "imprint_lookup": f"""WITH e AS (SELECT {mark_sql("pf")} AS cf, {mark_sql("pb")} AS cb, arg_min(coalesce(n, ''), entry_id) AS n FROM pill_registry GROUP BY ALL), f AS (SELECT * FROM e WHERE cf <> '' OR cb <> ''),
+    a AS (SELECT result_id, {mark_sql("prediction.front_imprint")} AS cf, {mark_sql("prediction.back_imprint")} AS cb FROM research_result)
+    SELECT result_id, f.n IS NOT NULL AS matched, coalesce(f.n, '') AS candidate FROM a LEFT JOIN f USING (cf, cb) WHERE cf <> '' OR cb <> ''""",
+    "clarity_buckets": """WITH c AS (SELECT lower(trim(coalesce(expected_readable, ''))) AS s, lower(trim(coalesce(blur, ''))) AS b FROM answer_sheet)
+    SELECT case when regexp_matches(s, '^(?:false|0|no)$|불가|unreadable') then '각인 불명확' when regexp_matches(s || ' ' || b, '혼합|곤란|partial|uncertain') then '혼합·판단곤란'
+    when not regexp_matches(b, '없음|선명|정상|clear') and regexp_matches(b, '심한|흐림|blur') then '각인 불명확' else '각인 명확' end AS clarity, count(*) AS n FROM c GROUP BY 1""",
     "synthetic_documents": """WITH d AS (SELECT id AS doc_id, id // 5 AS k, (id // 5) * 13 + id % 5 AS seed FROM range(120) r(id)) SELECT doc_id, ['진단서', '처방전', '검사결과지'][k // 8 + 1] AS form,
     ['original', 'blur', 'tilt', 'dark', 'glare', 'handwriting', 'fold', 'crumple'][k % 8 + 1] AS condition, seed, 'PT-' || lpad(((seed * 613 + 613) % 1000000)::varchar, 6, '0') AS value FROM d""",
     "daily_quotas": """WITH e AS (SELECT event_id, ((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Seoul')::date::varchar AS day, user_id::varchar AS subject, case when event_type = 'purchase' then 'refill' else 'consume' end AS action, epoch_ms(ts) AS ms FROM events),
