@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as T
 from sievework.functions import values as V
-from sievework.operators.skew import salted_left_join, settled
+from sievework.operators.skew import lookup_join, settled
 
 #: The similarity from which a name is partly right, and the confidence from which a wrong one is dangerous.
 PARTIAL_SIMILARITY = 0.72
@@ -34,8 +34,8 @@ def with_truth(results: DataFrame, truths: DataFrame, order: str = "gt_id") -> D
     exact = given.groupBy("sample_id", variant_or_original(F.col("condition.variant")).alias("_variant")).agg(F.max_by(kept, order).alias("_exact"))
     first = given.groupBy("sample_id").agg(F.min_by(kept, order).alias("_first"))
     keyed = results.withColumn("_variant", variant_or_original(F.col("meta")["variant"]))
-    joined = salted_left_join(keyed, exact, ["sample_id", "_variant"])
-    joined = salted_left_join(joined, first, ["sample_id"], counted=results)
+    joined = lookup_join(keyed, exact, ["sample_id", "_variant"])
+    joined = lookup_join(joined, first, ["sample_id"], counted=results)
     return joined.withColumn("truth", F.coalesce("_exact", "_first")).drop("_variant", "_exact", "_first")
 
 
@@ -124,7 +124,7 @@ def with_cost(rows: DataFrame, prices: DataFrame) -> DataFrame:
     price = prices.groupBy(F.lower("provider").alias("_p"), F.col("model").alias("_m")).agg(
         F.max_by(F.struct("input", "output", "cached"), F.coalesce("input", F.lit(0.0))).alias("_price")
     )
-    joined = salted_left_join(rows.withColumn("_p", F.lower("provider")).withColumn("_m", F.col("model")), price, ["_p", "_m"])
+    joined = lookup_join(rows.withColumn("_p", F.lower("provider")).withColumn("_m", F.col("model")), price, ["_p", "_m"])
     some = tokens["input_tokens"].isNotNull() | tokens["output_tokens"].isNotNull() | tokens["cached_tokens"].isNotNull()
     zero = {k: F.coalesce(v, F.lit(0.0)) for k, v in tokens.items()}
     rate = {k: F.coalesce(F.col("_price")[k], F.lit(0.0)) for k in ("input", "output")}

@@ -35,7 +35,7 @@ def validate_rows(rows: DataFrame, images: DataFrame, key: str = "row_id") -> Da
     cases = keyed.filter(F.col("_case") != "").groupBy("_case").agg(F.count("*").alias("_uses"))
     joined = salted_left_join(keyed, cases, ["_case"])
     for side in ("front", "back"):
-        joined = salted_left_join(joined, files.select(F.col("image_key").alias(f"_{side}"), F.col("n_files").alias(f"_{side}_files")), [f"_{side}"])
+        joined = salted_left_join(joined, files.select(F.col("image_key").alias(f"_{side}"), F.col("n_files").alias(f"_{side}_files")), [f"_{side}"], counted=keyed)
 
     def when(cond: Column, text: str) -> Column:
         return F.when(cond, F.lit(text))

@@ -69,6 +69,12 @@ def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
+def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], counted: DataFrame | None = None) -> DataFrame:
+    """Left join of ``big`` to a table to look up in (unique on ``keys``): broadcast if its bytes allow it, else on salted hot keys."""
+    sized = small_side(small)
+    return salted_left_join(big, small, keys, counted) if sized is small else big.join(sized, keys, "left")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` with all its columns computed at this point.
 
