@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 from sievework.functions import text as T
 from sievework.functions import values as V
 from sievework.operators import arena
+from sievework.operators.skew import settled
 from sievework.sources.sinks import csv_lines
 
 USAGE = ("input_tokens", "output_tokens", "cached_tokens", "cost_usd")
@@ -163,36 +164,59 @@ AUDIT_COLUMNS = (
     "truth_imprint_front", "truth_imprint_back", "drug_name", "drug_code", "imprint_front", "imprint_back", "mfds_match", "mfds_candidate", "verdict", "accuracy_score", "evidence_score", "hallucination_score",
     "clarity_score", "total_score", "rating_source", "evaluation_version", "automatic_total_score", "rating_override_fields", "vote", "vote_source", "latency_ms", "call_error",
 )
+#: Audit columns that come from the case, and the fields of which the first that is filled is taken.
+AUDIT_CASE = {
+    "case_id": ("id", "sample_id", "case_id"), "image_clarity": ("clarity",), "truth_mfds_item_id": ("mfds_item_id",), "truth_drug_name": ("truth_name",), "truth_imprint_front": ("truth_front",), "truth_imprint_back": ("truth_back",),
+}
 
 
 def audit_rows(runs: DataFrame) -> DataFrame:
-    """Every case under every blind label with its truth, answer, scores and vote: the columns of ``AUDIT_COLUMNS``; a missing part is null."""
-    r = answers_of(runs)
-    kind = r.schema["result"].dataType
-    at = F.col("case_no") + 1
-    of_case = lambda *path: F.try_element_at(_field(r, "result", *path), at) if _has(kind, *path) else F.lit(None)
-    inner = lambda array, name: of_case(array)[name] if _has(kind, array, name) else F.lit(None)
-    case = lambda *names: F.nullif(_text(r, "case", *names), F.lit(""))
+    """Every case under every blind label with its truth, answer, scores and vote: the columns of ``AUDIT_COLUMNS``; a missing part is null.
+
+    What belongs to a case alone or to a label alone is computed before the two meet, and a case takes only its own
+    entries of the label's arrays, so that the cost follows the rows that come out and not the square of a run's cases.
+    """
+    case_kind, kind = runs.schema["cases"].dataType.elementType, runs.schema["results"].dataType.valueType
+    case = lambda c, *names: F.nullif(T.trimmed(T.first_filled(*[c[n] if _has(case_kind, n) else F.lit(None) for n in names])), F.lit(""))
+    named = lambda c: F.struct(*[case(c, *names).alias(k) for k, names in AUDIT_CASE.items()])
+    labelled = lambda e: F.struct(e["key"].alias("label"), e["value"].alias("model_of"), F.try_element_at("results", e["key"]).alias("result"))
+    # a select with an explode computes its other columns after it, so what is to be computed before has a select of its own
+    of_run = [c for c in runs.columns if c not in ("cases", "blind_order", "results")]
+    lists = settled(runs).select(*of_run, F.transform("cases", named).alias("cases"), F.transform(F.map_entries("blind_order"), labelled).alias("_answers"))
+    r = lists.select(*of_run, "cases", F.explode("_answers").alias("_a")).select(*of_run, "cases", "_a.*")
     rating = lambda name: _field(r, "result", "rating", name)
     condition = lambda name: _field(r, "condition", name) if "condition" in r.columns else F.lit(None)
-    verdict, score = of_case("rating", "verdicts").cast("string"), of_case("rating", "scores").cast("double")
     components = [V.finite(rating(c)) for c in ("evidence", "hallucination", "clarity")]
     means = F.lit(None).cast("double")
     if _has(kind, "rating", "verdicts"):
         scores = rating("scores") if _has(kind, "rating", "scores") else F.array().cast("array<double>")
         points = F.filter(F.transform(rating("verdicts"), lambda v, i: arena.accuracy_points(v, F.try_element_at(scores, i + 1))), lambda x: x.isNotNull())
         means = F.when(F.size(points) > 0, F.aggregate(points, F.lit(0.0), lambda a, x: a + x) / F.size(points))
-    matched = F.when(inner("db", "matched").cast("boolean"), F.coalesce(F.nullif(T.safe(inner("db", "confidence")), F.lit("")), F.lit("matched"))).otherwise("not_matched")
     override = F.array_join(rating("override_fields"), "|") if _has(kind, "rating", "override_fields") else F.lit("")
-    values = [
-        F.col("id"), F.col("created_at") if "created_at" in r.columns else F.lit(None), at, case("id", "sample_id", "case_id"), condition("sides"), case("clarity"), condition("cost_mode"),
-        F.col("prompt_version") if "prompt_version" in r.columns else F.lit(None), F.col("label"), F.col("model_of.provider"), F.col("model_of.model"), case("mfds_item_id"), case("truth_name"), case("truth_front"), case("truth_back"),
-        *[inner("parsed", c) for c in ("drug_name", "drug_code", "imprint_front", "imprint_back")], matched, inner("db", "candidate"), T.safe(verdict), arena.accuracy_points(verdict, score), *components,
-        means + components[0] + components[1] + components[2], T.first_filled(rating("source"), F.lit("manual")), T.first_filled(rating("evaluation_version"), F.lit("manual-v1")),
-        V.finite(rating("automatic_total")), F.coalesce(override, F.lit("")), F.col("vote"), T.first_filled(F.col("vote_source") if "vote_source" in r.columns else F.lit(None), F.lit("manual")),
-        V.finite(_field(r, "result", "latency_ms")), _field(r, "result", "error"),
-    ]
-    return r.select(*[v.alias(name) for v, name in zip(values, AUDIT_COLUMNS)])
+    of_label = {
+        "batch_id": F.col("id"), "created_at": F.col("created_at") if "created_at" in r.columns else F.lit(None), "image_sides": condition("sides"), "cost_mode": condition("cost_mode"),
+        "prompt_version": F.col("prompt_version") if "prompt_version" in r.columns else F.lit(None), "blind_label": F.col("label"), "provider": F.col("model_of.provider"), "model": F.col("model_of.model"),
+        "evidence_score": components[0], "hallucination_score": components[1], "clarity_score": components[2], "total_score": means + components[0] + components[1] + components[2],
+        "rating_source": T.first_filled(rating("source"), F.lit("manual")), "evaluation_version": T.first_filled(rating("evaluation_version"), F.lit("manual-v1")),
+        "automatic_total_score": V.finite(rating("automatic_total")), "rating_override_fields": F.coalesce(override, F.lit("")), "vote": F.col("vote"),
+        "vote_source": T.first_filled(F.col("vote_source") if "vote_source" in r.columns else F.lit(None), F.lit("manual")), "latency_ms": V.finite(_field(r, "result", "latency_ms")), "call_error": _field(r, "result", "error"),
+    }
+
+    def entries(c: Column, i: Column) -> Column:
+        """A case with its own entries of the label's arrays."""
+        at = i + 1
+        of_case = lambda *path: F.try_element_at(_field(r, "result", *path), at) if _has(kind, *path) else F.lit(None)
+        inner = lambda array, name: of_case(array)[name] if _has(kind, array, name) else F.lit(None)
+        return F.struct(
+            at.alias("case_index"), *[c[k].alias(k) for k in AUDIT_CASE], *[inner("parsed", k).alias(k) for k in ("drug_name", "drug_code", "imprint_front", "imprint_back")], inner("db", "matched").cast("boolean").alias("_matched"),
+            inner("db", "confidence").alias("_db_confidence"), inner("db", "candidate").alias("mfds_candidate"), of_case("rating", "verdicts").cast("string").alias("_verdict"), of_case("rating", "scores").cast("double").alias("_score"),
+        )
+
+    scored_labels = r.select(*[v.alias(name) for name, v in of_label.items()], F.transform("cases", entries).alias("_cases"))
+    each = scored_labels.select(*of_label, F.explode("_cases").alias("_c")).select(*of_label, "_c.*")
+    matched = F.when(F.col("_matched"), F.coalesce(F.nullif(T.safe("_db_confidence"), F.lit("")), F.lit("matched"))).otherwise("not_matched")
+    scored = {"mfds_match": matched, "verdict": T.safe("_verdict"), "accuracy_score": arena.accuracy_points("_verdict", "_score")}
+    return each.select(*[scored.get(name, F.col(name)).alias(name) for name in AUDIT_COLUMNS])
 
 
 def audit_csv(runs: DataFrame) -> DataFrame:

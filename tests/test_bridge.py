@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,26 @@ def test_audit_rows_and_csv(runs):
     assert bridge.audit_rows(runs.limit(0)).count() == 0
 
 
+def test_audit_of_a_run_of_many_cases(spark):
+    n, labels = 6000, 6
+    verdict = "element_at(array('correct', 'partial', 'wrong', ''), cast((i + l) % 4 + 1 as int))"
+    result = f"named_struct('latency_ms', 100D + l, 'rating', named_struct('verdicts', transform(sequence(0, {n - 1}), i -> {verdict}), 'scores', transform(sequence(0, {n - 1}), i -> if(i % 5 = 4, 12D, null)), 'evidence', 20D, 'hallucination', 10D + l, 'clarity', 7.5D))"
+    one = spark.range(1).selectExpr(
+        "'R' AS id", f"transform(sequence(0, {n - 1}), i -> named_struct('id', concat(' C-', i), 'truth_name', 'x')) AS cases", f"map_from_entries(transform(sequence(0, {labels - 1}), l -> struct(concat('M', l), named_struct('provider', 'p', 'model', concat('m', l))))) AS blind_order",
+        f"map_from_entries(transform(sequence(0, {labels - 1}), l -> struct(concat('M', l), {result}))) AS results", "'tie' AS vote",
+    )
+    late = threading.Timer(30, spark.sparkContext.cancelAllJobs)  # entries of all cases for each case are 216 million
+    late.start()
+    try:
+        rows = bridge.audit_rows(one).select("case_index", "case_id", "blind_label", "verdict", "accuracy_score", "total_score", "latency_ms").collect()
+    finally:
+        late.cancel()
+    points = lambda i, k: 12.0 if i % 5 == 4 else (40.0, 20.0, 0.0, None)[(i + k) % 4]
+    rated = {k: [p for i in range(n) if (p := points(i, k)) is not None] for k in range(labels)}
+    want = {(i + 1, f"C-{i}", f"M{k}", ("correct", "partial", "wrong", "")[(i + k) % 4], points(i, k), sum(rated[k]) / len(rated[k]) + 37.5 + k, 100.0 + k) for i in range(n) for k in range(labels)}
+    assert len(rows) == n * labels and {tuple(r) for r in rows} == want
+
+
 def test_rubric_truth_drops_older_fields(spark):
     df = spark.createDataFrame([("1.0", "a", ("",), ("original",), "가나정"), (None, "b", None, None, "다라정"), (None, "c", ("x",), None, "y")], "schema_version string, sample_id string, answer struct<drug_name:string>, condition struct<variant:string>, truth_name string")
     got = {r.sample_id: (r.schema_version, r.truth_name) for r in bridge.rubric_truth(df).collect()}
